@@ -23,23 +23,32 @@ def _checkpoint_ready(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder of spark.checkpoint.dir (own folder only where that is unset)."""
-    _checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def hot_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, rows: int, share: int = 200) -> DataFrame:
+    spark = df.sparkSession
+    _checkpoint_ready(spark)
+    # a checkpoint keeps its plan's constraints; over the rounds of an iteration they multiply and planning stalls
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
+
+
+def hot_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, rows: int, share: int = 200, salts: int = 32, floor: int = 20_000) -> DataFrame:
     """Left join of `left` to `right`, whose `right_key` is unique, safe when few keys hold most of `left`.
 
-    A key is hot when it holds more than rows/share of the `rows` left rows, so there are at most `share`
-    hot keys; only their right rows are broadcast, every other row goes through a shuffled join.
+    A key is hot when it holds more than rows/share (and `floor`) of the `rows` left rows, so there are at most
+    `share` hot keys. Their left rows are spread over `salts` salts and their right rows repeated for each; below
+    `floor` rows in all nothing can be hot and the join is a plain one.
     """
-    limit = max(rows // share, 1)
-    hot = left.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") > limit).select("_hot")
-    marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    few = right.join(F.broadcast(hot), F.col(right_key) == F.col("_hot"), "left_semi")
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(right, F.col(key) == F.col(right_key), "left")
-    warm = marked.filter(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(few), F.col(key) == F.col(right_key), "left")
-    return cold.unionByName(warm)
+    if rows <= floor:
+        return left.join(right, F.col(key) == F.col(right_key), "left")
+    hot = left.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") > max(rows // share, floor)).select("_hot")
+    salted = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    last = F.when(F.col("_hot").isNotNull(), salts - 1).otherwise(0)
+    spread = right.join(F.broadcast(hot), F.col(right_key) == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    return salted.join(spread, (F.col(key) == F.col(right_key)) & (F.col("_salt") == F.col("_copy")), "left").drop("_salt", "_copy")
 
 
 def small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> list | None:
