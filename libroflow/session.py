@@ -25,14 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder of spark.checkpoint.dir (own folder only where that is unset)."""
     spark = df.sparkSession
     _checkpoint_ready(spark)
-    # a checkpoint keeps its plan's constraints; over the rounds of an iteration they multiply and planning stalls
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    done = df.checkpoint(eager=True)
+    # a checkpoint keeps the size estimate and constraints of its plan; a join's estimate is the product of its
+    # sides', so over the rounds of an iteration they grow without bound and planning stalls. Start them afresh.
+    fresh = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(fresh, spark)
 
 
 def hot_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, rows: int, share: int = 200, salts: int = 32, floor: int = 20_000) -> DataFrame:
