@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from libroflow.llm.consensus import record_values, survivors
 from libroflow.llm.groups import group_ids
+from libroflow.llm.language import identify
 from libroflow.session import table
 
 
@@ -19,7 +20,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_ids(table(spark, sf_dir, "match_decisions"), "left_ids", "right_ids", "is_match").select(F.col("id").alias("mention_id"), F.col("group").alias("group_id"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).filter(F.col("mixed") | ~F.col("label_ok")).select("doc_id", "par_no", "lang").distinct()
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document and paragraph."""
+    return identify(table(spark, sf_dir, "documents")).distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found, "p10_languages": p10_languages}
 
 ORACLES = {
     "p5_found": """
