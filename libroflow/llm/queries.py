@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from libroflow.llm.consensus import record_values, survivors
 from libroflow.llm.groups import group_ids
 from libroflow.llm.language import identify
+from libroflow.llm.leakage import leaks
+from libroflow.llm.packing import pack_all, token_counts
 from libroflow.session import table
 
 
@@ -29,7 +31,17 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p10_found": p10_found, "p10_languages": p10_languages}
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of every capacity."""
+    sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack_all(sizes, "doc_id", "n_tokens", table(spark, sf_dir, "pack_sizes")).withColumnRenamed("item", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
 
 ORACLES = {
     "p5_found": """
