@@ -1,7 +1,9 @@
 """Consolidating pairwise matches into groups: minimum labels over contracted edges, with pointer jumping.
 
-Each round gives every node the smallest label among itself and its neighbours, jumps pointers until every node
-points at a root, and contracts the edges to the roots; it ends when no edge is left. Each round is checkpointed.
+Each round gives every node the smallest label among itself and its neighbours, jumps pointers twice (four steps along
+the labels), and contracts the edges to the labels reached; it ends when no edge joins two labels. Paths stay paths
+under relabelling and a group's smallest id keeps itself, so the last label of a group is its smallest id. Each
+round is checkpointed.
 The edges need no join for the minimum (a map-side combined aggregation), and look-ups of labels go through
 `hot_lookup`, so a giant group or a node in a third of all pairs stays spread over the executors.
 
@@ -17,15 +19,12 @@ from pyspark.sql import functions as F
 from libroflow.session import cut, hot_lookup
 
 
-def _jump(parent: DataFrame) -> DataFrame:
-    """Replace every node's label by its root; parent: (id, p)."""
-    while True:
-        up = parent.select(F.col("id").alias("q"), F.col("p").alias("pp"))
-        step = cut(hot_lookup(parent, "p", up, "q", parent.count()).select("id", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")))
-        moved = step.filter("moved").limit(1).count()
-        parent = step.drop("moved")
-        if not moved:
-            return parent
+def _jump(parent: DataFrame, rows: int) -> DataFrame:
+    """Two rounds of pointer jumping: every node takes its label's label, twice; parent: (id, p)."""
+    for k in range(2):
+        up = parent.select(F.col("id").alias(f"q{k}"), F.col("p").alias(f"pp{k}"))
+        parent = hot_lookup(parent, "p", up, f"q{k}", rows).select("id", F.coalesce(f"pp{k}", "p").alias("p"))
+    return parent
 
 
 def group_ids(decisions: DataFrame, left: str, right: str, flag: str) -> DataFrame:
@@ -40,7 +39,7 @@ def group_ids(decisions: DataFrame, left: str, right: str, flag: str) -> DataFra
     levels = []
     while (n := edges.count()) > 0:
         lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-        roots = _jump(cut(lowest.select(F.col("u").alias("id"), F.least("u", "m").alias("p"))))
+        roots = cut(_jump(cut(lowest.select(F.col("u").alias("id"), F.least("u", "m").alias("p"))), n))
         levels.append(roots)
         a = hot_lookup(edges, "u", roots.select(F.col("id").alias("iu"), F.col("p").alias("pu")), "iu", n).select("v", "pu")
         b = hot_lookup(a, "v", roots.select(F.col("id").alias("iv"), F.col("p").alias("pv")), "iv", n)
