@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from libroflow.llm.canonical import map_terms
 from libroflow.llm.consensus import record_values, survivors
 from libroflow.llm.groups import group_ids
 from libroflow.llm.language import identify
@@ -13,6 +14,10 @@ from libroflow.llm.packing import pack_all, token_counts
 from libroflow.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_terms(table(spark, sf_dir, "person_mentions"), table(spark, sf_dir, "vocabulary"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = survivors(record_values(table(spark, sf_dir, "person_records"), table(spark, sf_dir, "source_trust")))
     return best.select(F.col("grp").alias("group_id"), "field", F.col("record").alias("record_key"))
@@ -41,7 +46,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
 
 ORACLES = {
     "p5_found": """
