@@ -27,12 +27,9 @@ def _jump(parent: DataFrame, rows: int) -> DataFrame:
     return parent
 
 
-def group_ids(decisions: DataFrame, left: str, right: str, flag: str) -> DataFrame:
-    """(id, group): every id in a true decision, with the smallest id linked to it directly or indirectly."""
-    none = F.array().cast("array<string>")
-    ids = F.array_distinct(F.filter(F.concat(F.coalesce(left, none), F.coalesce(right, none)), lambda x: x.isNotNull()))
-    pairs = decisions.filter(F.col(flag)).select(ids.alias("ids")).filter(F.size("ids") > 0)
-    star = cut(pairs.select(F.explode("ids").alias("u"), F.array_min("ids").alias("v")).distinct())
+def components(star: DataFrame) -> DataFrame:
+    """(id, group) from pairs (u, v), where every id occurs as some u (paired with itself if with nobody)."""
+    star = cut(star.select("u", "v").distinct())
     nodes = star.select(F.col("u").alias("node")).distinct()
     edges = star.filter("u != v")
     edges = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
@@ -49,3 +46,11 @@ def group_ids(decisions: DataFrame, left: str, right: str, flag: str) -> DataFra
     for roots in levels:
         labels = hot_lookup(labels, "label", roots, "id", total).select("node", F.coalesce("p", "label").alias("label"))
     return labels.select(F.col("node").alias("id"), F.col("label").alias("group"))
+
+
+def group_ids(decisions: DataFrame, left: str, right: str, flag: str) -> DataFrame:
+    """(id, group): every id in a true decision, with the smallest id linked to it directly or indirectly."""
+    none = F.array().cast("array<string>")
+    ids = F.array_distinct(F.filter(F.concat(F.coalesce(left, none), F.coalesce(right, none)), lambda x: x.isNotNull()))
+    pairs = decisions.filter(F.col(flag)).select(ids.alias("ids")).filter(F.size("ids") > 0)
+    return components(pairs.select(F.explode("ids").alias("u"), F.array_min("ids").alias("v")))

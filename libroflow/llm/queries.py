@@ -11,6 +11,7 @@ from libroflow.llm.groups import group_ids
 from libroflow.llm.language import identify
 from libroflow.llm.leakage import leaks
 from libroflow.llm.packing import pack_all, token_counts
+from libroflow.llm.variants import variant_people
 from libroflow.session import table
 
 
@@ -18,6 +19,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_terms(table(spark, sf_dir, "person_mentions"), table(spark, sf_dir, "vocabulary"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_people(table(spark, sf_dir, "person_mentions"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = survivors(record_values(table(spark, sf_dir, "person_records"), table(spark, sf_dir, "source_trust")))
     return best.select(F.col("grp").alias("group_id"), "field", F.col("record").alias("record_key"))
@@ -46,7 +51,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
 
 ORACLES = {
     "p5_found": """
