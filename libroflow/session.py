@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,19 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(fresh, spark)
 
 
+@contextmanager
+def static_plans(spark: SparkSession) -> Iterator[None]:
+    """Plan what runs inside without adaptive stages. An iteration has many small exchanges; adaptive planning gives
+    each a driver thread that stays for a minute, up to a thousand of them. Skew must be dealt with by the caller."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hot_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, rows: int, share: int = 200, salts: int = 32, floor: int = 20_000) -> DataFrame:
     """Left join of `left` to `right`, whose `right_key` is unique, safe when few keys hold most of `left`.
 
