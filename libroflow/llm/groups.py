@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from libroflow.session import cut, hot_lookup
+from libroflow.session import cut, hot_lookup, static_plans
 
 
 def _jump(parent: DataFrame, rows: int) -> DataFrame:
@@ -29,18 +29,19 @@ def _jump(parent: DataFrame, rows: int) -> DataFrame:
 
 def components(star: DataFrame) -> DataFrame:
     """(id, group) from pairs (u, v), where every id occurs as some u (paired with itself if with nobody)."""
-    star = cut(star.select("u", "v").distinct())
-    nodes = star.select(F.col("u").alias("node")).distinct()
-    edges = star.filter("u != v")
-    edges = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    levels = []
-    while (n := edges.count()) > 0:
-        lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-        roots = cut(_jump(cut(lowest.select(F.col("u").alias("id"), F.least("u", "m").alias("p"))), n))
-        levels.append(roots)
-        a = hot_lookup(edges, "u", roots.select(F.col("id").alias("iu"), F.col("p").alias("pu")), "iu", n).select("v", "pu")
-        b = hot_lookup(a, "v", roots.select(F.col("id").alias("iv"), F.col("p").alias("pv")), "iv", n)
-        edges = cut(b.filter("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+    with static_plans(star.sparkSession):
+        star = cut(star.select("u", "v").distinct())
+        nodes = star.select(F.col("u").alias("node")).distinct()
+        edges = star.filter("u != v")
+        edges = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+        levels = []
+        while (n := edges.count()) > 0:
+            lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
+            roots = cut(_jump(cut(lowest.select(F.col("u").alias("id"), F.least("u", "m").alias("p"))), n))
+            levels.append(roots)
+            a = hot_lookup(edges, "u", roots.select(F.col("id").alias("iu"), F.col("p").alias("pu")), "iu", n).select("v", "pu")
+            b = hot_lookup(a, "v", roots.select(F.col("id").alias("iv"), F.col("p").alias("pv")), "iv", n)
+            edges = cut(b.filter("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
     labels = nodes.select("node", F.col("node").alias("label"))
     total = nodes.count() if levels else 0
     for roots in levels:
