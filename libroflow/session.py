@@ -56,6 +56,7 @@ def hot_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, rows
     """
     if rows <= floor:
         return left.join(right, F.col(key) == F.col(right_key), "left")
+    left = cut(left)  # read twice: for the counts and for the join
     hot = left.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") > max(rows // share, floor)).select("_hot")
     salted = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     last = F.when(F.col("_hot").isNotNull(), salts - 1).otherwise(0)
