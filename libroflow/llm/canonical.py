@@ -233,13 +233,16 @@ def map_terms(mentions: DataFrame, vocabulary: DataFrame, fields: list[str] = FI
     terms: dict[str, list[str]] = {f: [] for f in fields}
     for key, text in rows:
         terms[key] += [t for t in json.loads(text) if t]
-    parts = []
     types = dict(mentions.dtypes)
-    for f in fields:
+
+    def unknown(f: str) -> F.Column:
+        """The field's values that are no term, with their places."""
         own = F.transform(F.col(f), lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x.alias("value"))) if types[f].startswith("array") else F.array(F.struct(F.lit(1).alias("pos"), F.col(f).alias("value")))
         known = F.array(*[F.lit(t) for t in terms[f]]) if terms[f] else F.array().cast("array<string>")
-        kept = F.filter(own, lambda x, known=known: x["value"].isNotNull() & ~F.array_contains(known, x["value"]))
-        parts.append(F.transform(kept, lambda x, f=f: F.struct(F.lit(f).alias("field"), x["pos"].alias("pos"), x["value"].alias("value"))))
+        kept = F.filter(own, lambda x: x["value"].isNotNull() & ~F.array_contains(known, x["value"]))
+        return F.transform(kept, lambda x: F.struct(F.lit(f).alias("field"), x["pos"].alias("pos"), x["value"].alias("value")))
+
+    parts = [unknown(f) for f in fields]
     none = F.array().cast("array<struct<field: string, pos: int, value: string>>")
     values = mentions.filter(F.col("mention_key").isNotNull()).select(F.col("mention_key").cast("bigint").alias("mention_key"), F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("x")).select("mention_key", "x.field", "x.pos", "x.value")
     schema = pa.schema([("mention_key", pa.int64()), ("field", pa.string()), ("pos", pa.int32()), ("term", pa.string())])

@@ -42,10 +42,10 @@ def components(star: DataFrame) -> DataFrame:
             a = hot_lookup(edges, "u", roots.select(F.col("id").alias("iu"), F.col("p").alias("pu")), "iu", n).select("v", "pu")
             b = hot_lookup(a, "v", roots.select(F.col("id").alias("iv"), F.col("p").alias("pv")), "iv", n)
             edges = cut(b.filter("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
-    labels = nodes.select("node", F.col("node").alias("label"))
-    total = nodes.count() if levels else 0
-    for roots in levels:
-        labels = hot_lookup(labels, "label", roots, "id", total).select("node", F.coalesce("p", "label").alias("label"))
+        labels = nodes.select("node", F.col("node").alias("label"))
+        total = nodes.count() if levels else 0
+        for roots in levels:
+            labels = cut(hot_lookup(labels, "label", roots, "id", total).select("node", F.coalesce("p", "label").alias("label")))
     return labels.select(F.col("node").alias("id"), F.col("label").alias("group"))
 
 
