@@ -11,6 +11,7 @@ from libroflow.llm.groups import group_ids
 from libroflow.llm.language import identify
 from libroflow.llm.leakage import leaks
 from libroflow.llm.packing import pack_all, token_counts
+from libroflow.llm.pages import line_kinds, repaired
 from libroflow.llm.variants import variant_people
 from libroflow.session import table
 
@@ -41,6 +42,15 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).distinct()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_kinds(table(spark, sf_dir, "entries"), table(spark, sf_dir, "volumes"))
+
+
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every entry, by paragraph."""
+    return repaired(table(spark, sf_dir, "entries"), table(spark, sf_dir, "volumes"))
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in containers of every capacity."""
     sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -51,7 +61,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_text": p7_text, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
 
 ORACLES = {
     "p5_found": """
