@@ -96,7 +96,7 @@ def plain(value: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9]+", " ", t).split())
 
 
-_FOLDS = [("ph", "f"), ("qu", "k"), ("ce", "se"), ("ci", "si"), ("ge", "je"), ("gi", "ji"), ("c", "k"), ("z", "s"), ("v", "b"), ("y", "i"), ("h", "")]
+_FOLDS = [("ph", "f"), ("y", "i"), ("h", ""), ("qu", "k"), ("ce", "se"), ("ci", "si"), ("ge", "je"), ("gi", "ji"), ("c", "k"), ("z", "s"), ("v", "b")]
 
 
 def folded(text: str) -> str:
