@@ -52,6 +52,9 @@ def greedy_matches(truth: Column, found: Column, threshold: float = 0.5) -> Colu
     return F.aggregate(found, start, step, lambda s: s["n"])
 
 
+_EDGES = ["box_id", "left", "top", "right", "bottom"]
+
+
 def overlapping(a: DataFrame, b: DataFrame, image: str, tile: int = 200) -> DataFrame:
     """Pairs of boxes of one image that share area, by grid: each box goes to the tiles it covers, boxes meet in their
     tiles, and a pair counts only in the tile of its shared corner, so no pair comes twice."""
@@ -59,13 +62,15 @@ def overlapping(a: DataFrame, b: DataFrame, image: str, tile: int = 200) -> Data
     def tiled(df: DataFrame, name: str) -> DataFrame:
         span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / tile), F.floor((F.col(hi) - 1) / tile))
         real = df.filter((F.col("right") > F.col("left")) & (F.col("bottom") > F.col("top")))
-        placed = real.select(F.col(image).alias(f"{name}_image"), F.struct("box_id", "left", "top", "right", "bottom").alias(name), span("left", "right").alias("_xs"), span("top", "bottom").alias("_ys"))
-        return placed.withColumn(f"{name}_x", F.explode("_xs")).withColumn(f"{name}_y", F.explode("_ys")).drop("_xs", "_ys")
+        flat = [F.col(c).alias(f"{name}_{c}") for c in _EDGES]
+        return real.select(F.col(image).alias(f"{name}_image"), *flat, F.explode(span("left", "right")).alias(f"{name}_x"), span("top", "bottom").alias("_ys")).withColumn(f"{name}_y", F.explode("_ys")).drop("_ys")
 
     met = tiled(a, "a").join(tiled(b, "b"), (F.col("a_image") == F.col("b_image")) & (F.col("a_x") == F.col("b_x")) & (F.col("a_y") == F.col("b_y")))
-    x, y = F.greatest("a.left", "b.left"), F.greatest("a.top", "b.top")
-    shared = (x < F.least("a.right", "b.right")) & (y < F.least("a.bottom", "b.bottom"))
-    return met.filter(shared & (F.floor(x / tile) == F.col("a_x")) & (F.floor(y / tile) == F.col("a_y"))).select(F.col("a_image").alias(image), "a", "b")
+    x, y = F.greatest("a_left", "b_left"), F.greatest("a_top", "b_top")
+    shared = (x < F.least("a_right", "b_right")) & (y < F.least("a_bottom", "b_bottom"))
+    kept = met.filter(shared & (F.floor(x / tile) == F.col("a_x")) & (F.floor(y / tile) == F.col("a_y")))
+    box = lambda name: F.struct(*[F.col(f"{name}_{c}").alias(c) for c in _EDGES]).alias(name)
+    return kept.select(F.col("a_image").alias(image), box("a"), box("b"))
 
 
 def box_pairs(a: DataFrame, b: DataFrame, image: str) -> DataFrame:

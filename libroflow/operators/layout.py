@@ -23,7 +23,7 @@ def contained(boxes: DataFrame, image: str, max_area: int) -> DataFrame:
     large = boxes.filter(area > max_area)
     met = overlapping(large, boxes, image)
     inside = (F.col("b.left") >= F.col("a.left")) & (F.col("b.right") <= F.col("a.right")) & (F.col("b.top") >= F.col("a.top")) & (F.col("b.bottom") <= F.col("a.bottom"))
-    held = met.filter(inside).select(F.col(image).alias("_i"), F.col("b.box_id").alias("_b")).distinct()
+    held = met.select(F.col(image).alias("_i"), F.col("b.box_id").alias("_b"), inside.alias("_in")).groupBy("_i", "_b").agg(F.max("_in").alias("_in")).filter("_in").drop("_in")
     return boxes.join(held, (F.col(image) == F.col("_i")) & (F.col("box_id") == F.col("_b")), "left").withColumn("other", F.col("_b").isNotNull() | (area > max_area)).drop("_i", "_b")
 
 
