@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from libroflow.session import cut
+
 NODE_SCHEMA = "{key} bigint, node bigint, parent bigint, label string, ordinal int, path string, canon string, pos_path array<int>, kind string, scalar string, raw string"
 _CHUNK = 100_000
 
@@ -33,7 +35,7 @@ def kind_of(v) -> str:
     return {str: "string", list: "array", dict: "object"}[type(v)]
 
 
-def _walk(key, body, kinds, aliases, out) -> None:
+def _walk(key, body, kinds, aliases, only, out) -> None:
     try:
         root = json.loads(body)
     except ValueError:
@@ -52,7 +54,8 @@ def _walk(key, body, kinds, aliases, out) -> None:
         rescued = canon not in kinds and path != "" or wanted is not None and kind not in (wanted, "null") and not element
         text = v if kind == "string" else json.dumps(v, ensure_ascii=False) if kind not in ("object", "array", "null") else None
         raw = json.dumps(v, ensure_ascii=False) if rescued and not element else None
-        out.append((key, node, parent, label, ordinal, path, canon, pos, kind, text, raw))
+        if only is None or canon in only:
+            out.append((key, node, parent, label, ordinal, path, canon, pos, kind, text, raw))
         if kind == "object":
             for i, (k, x) in reversed(list(enumerate(v.items(), 1))):
                 p = f"{path}.{k}" if path else k
@@ -63,12 +66,13 @@ def _walk(key, body, kinds, aliases, out) -> None:
                 stack.append((x, node, None, i, path, canon, [*pos, i], True))
 
 
-def shred(df: DataFrame, key: str, body: str, kinds: dict[str, str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+def shred(df: DataFrame, key: str, body: str, kinds: dict[str, str] | None = None, aliases: dict[str, str] | None = None, only: set[str] | None = None) -> DataFrame:
     """One row per JSON node of `body`.
 
     kinds: the agreed layout, path -> JSON type; `raw` keeps the JSON of every value outside it.
     aliases: found path -> agreed path; `canon` has the agreed path, `path` the one found.
     pos_path: 1-based positions in all enclosing arrays.
+    only: agreed paths whose nodes are wanted; node numbers stay those of the whole body.
     """
     kinds, aliases = kinds or {}, aliases or {}
     schema = NODE_SCHEMA.format(key=key)
@@ -83,7 +87,7 @@ def shred(df: DataFrame, key: str, body: str, kinds: dict[str, str] | None = Non
             for k, text in zip(b.column(0), b.column(1)):
                 if (t := text.as_py()) is None or not t.strip():
                     continue
-                _walk(k.as_py(), t, kinds, aliases, rows)
+                _walk(k.as_py(), t, kinds, aliases, only, rows)
                 if len(rows) >= _CHUNK:
                     yield batch(rows)
                     rows = []
@@ -105,6 +109,10 @@ def entity(nodes: DataFrame, key: str, path: str, fields: list[str]) -> DataFram
     return objects.join(pivot, (F.col(key) == F.col("_k")) & (F.col("node") == F.col("_p")), "left").drop("_k", "_p")
 
 
+#: The agreed paths that links are made of.
+LINK_PATHS = {"entries", "entries.id", "entries.data.people", "entries.data.people.id", "entries.data.people.relationships", "entries.data.people.relationships.related_person", "entries.data.people.relationships.relationship_type", "entries.data.events.principals", "entries.data.events.witnesses"}
+
+
 def local_ref(c) -> F.Column:
     """The reading of a person reference within its entry: `P4`, ` p04` and `0006-02-P04` are all `P4`."""
     t = F.upper(F.trim(c))
@@ -117,6 +125,7 @@ def entry_links(nodes: DataFrame, key: str) -> DataFrame:
     A reference to nobody has child_pos 0; a reference that is null or blank is no link. Where two people of an
     entry share an id, the first is meant. A reference naming another entry is to nobody of this one.
     """
+    nodes = cut(nodes)  # the bodies are parsed once; the joins below read the flat nodes
     at = "entries.data.people"
     people = entity(nodes, key, at, ["id"])
     entries = entity(nodes, key, "entries", ["id"]).select(F.col(key).alias("k0"), F.col("pos_path")[0].alias("e0"), F.col("id").alias("entry_id"))

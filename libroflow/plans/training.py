@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from libroflow.operators.drift import approved_paths, catalogue_of, conform, ingest
-from libroflow.operators.shred import entity, entry_links, shred
+from libroflow.operators.shred import LINK_PATHS, entity, entry_links, shred
 from libroflow.session import table
 
 
@@ -21,13 +21,13 @@ def p2_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.withColumn("entry_pos", F.col("pos_path")[0]).withColumn("person_pos", F.col("pos_path")[1]).drop("pos_path", "node")
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nodes(spark: SparkSession, sf_dir: str, only: set[str] | None = None) -> DataFrame:
     kinds = catalogue_of(table(spark, sf_dir, "field_catalogue"))
-    return shred(table(spark, sf_dir, "extraction_files"), "file_id", "body", kinds, approved_paths())
+    return shred(table(spark, sf_dir, "extraction_files"), "file_id", "body", kinds, approved_paths(), only)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entry_links(_nodes(spark, sf_dir), "file_id")
+    return entry_links(_nodes(spark, sf_dir, LINK_PATHS), "file_id")
 
 
 def p6_people(spark: SparkSession, sf_dir: str) -> DataFrame:
