@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from libroflow.operators.shred import shred
-from libroflow.session import small
+from libroflow.session import cut, small
 
 # Names under which agreed fields are known to arrive, approved for promotion.
 APPROVED = {
@@ -111,11 +111,13 @@ def ingest(files: DataFrame, key: str, body: str, catalogue: DataFrame, approved
     kinds = catalogue_of(catalogue)
     aliases = {k: v for k, v in approved_paths(approved).items() if v in kinds and k not in kinds}
     first = shred(files, key, body, kinds, aliases)
-    more = detect(cells_of(first, key), kinds, aliases)
+    cells = cut(cells_of(first, key))  # the bodies are parsed once for the report
+    more = detect(cells, kinds, aliases)
     if more:
         aliases = aliases | more
         first = shred(files, key, body, kinds, aliases)
-    return first, departures(cells_of(first, key), key, kinds, aliases, files.sparkSession), aliases
+        cells = cut(cells_of(first, key))
+    return first, departures(cells, key, kinds, aliases, files.sparkSession), aliases
 
 
 YES = ["true", "yes", "y", "1", "si", "sí", "sim", "oui", "legitimate", "legítimo", "legitimo", "legítima", "legitima", "free", "freed", "libre", "livre"]
