@@ -92,11 +92,11 @@ def plain(value: str) -> str:
     t = "".join(c for c in t if not unicodedata.combining(c))
     t = re.sub(r"\(\s*s[ic]{1,2}c?\s*\)|\[\s*sic\s*\]", " ", t)
     t = re.sub(r"\[[^\]]*\]", " ", t)
-    t = re.sub(r"(?<=[a-z])[.'](?=[a-z])", "", t)
+    t = re.sub(r"(?<=[a-z])[.']+(?=[a-z])", "", t)
     return " ".join(re.sub(r"[^a-z0-9]+", " ", t).split())
 
 
-_FOLDS = [("ph", "f"), ("y", "i"), ("h", ""), ("qu", "k"), ("ce", "se"), ("ci", "si"), ("ge", "je"), ("gi", "ji"), ("c", "k"), ("z", "s"), ("v", "b")]
+_FOLDS = [("ph", "f"), ("y", "i"), ("h", ""), ("qua", "kua"), ("quo", "kuo"), ("qu", "k"), ("ce", "se"), ("ci", "si"), ("ge", "je"), ("gi", "ji"), ("c", "k"), ("z", "s"), ("v", "b")]
 
 
 def folded(text: str) -> str:
