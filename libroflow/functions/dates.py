@@ -10,10 +10,12 @@ MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 
 
 def parse_date(c: Column) -> Column:
-    """The parts that are whole numbers, in order; null text gives null, and an unreadable part ends the date."""
-    parts = F.transform(F.split(F.substring_index(c, "/", 1), "-"), lambda x: x.try_cast("int"))
-    bad = F.array_position(F.transform(parts, lambda x: x.isNull()), F.lit(True))
-    return F.when(bad == 0, parts).otherwise(F.slice(parts, F.lit(1), F.greatest(bad - 1, F.lit(0)).cast("int")))
+    """Up to three parts that are whole numbers, in order; null text gives null, an unreadable part ends the date."""
+    text = F.split(F.substring_index(c, "/", 1), "-")
+    y = F.get(text, F.lit(0)).try_cast("int")
+    m = F.when(y.isNotNull(), F.get(text, F.lit(1)).try_cast("int"))
+    d = F.when(m.isNotNull(), F.get(text, F.lit(2)).try_cast("int"))
+    return F.when(c.isNotNull(), F.array_compact(F.array(y, m, d)))
 
 
 def not_after(a: Column, b: Column) -> Column:

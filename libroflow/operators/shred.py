@@ -4,7 +4,7 @@
 nesting becomes a flat table. `entity` joins object nodes with their scalar children and pivots them.
 `entry_links` resolves the references between entries, people and events.
 
-Defined edge cases: a null, blank or unparsable body gives no node except one of kind `invalid` for text that is
+Defined edge cases: a body without a key is left out; a null, blank or unparsable body gives no node except one of kind `invalid` for text that is
 not JSON; empty objects and arrays give their own node only; a repeated key keeps its last value; repeated
 input rows give repeated nodes under the same key (results that promise distinct rows are made distinct).
 Columns of the input other than key and body are not read.
@@ -94,7 +94,7 @@ def shred(df: DataFrame, key: str, body: str, kinds: dict[str, str] | None = Non
         if rows:
             yield batch(rows)
 
-    return df.select(F.col(key).cast("bigint").alias(key), F.col(body).alias(body)).mapInArrow(run, schema)
+    return df.filter(F.col(key).isNotNull() & F.col(body).isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col(body).alias(body)).mapInArrow(run, schema)
 
 
 def entity(nodes: DataFrame, key: str, path: str, fields: list[str]) -> DataFrame:
