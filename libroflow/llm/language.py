@@ -7,7 +7,7 @@ which is smoothed towards the whole corpus, all computed by grouped aggregation
 
 Parameters: SAMPLE labelled rows at most are read for the fit; everything else covers all rows.
 
-Defined edge cases: null, empty and blank texts have no paragraph and give no row; a null source or volume is a host of
+Defined edge cases: rows without an id are left out; null, empty and blank texts have no paragraph and give no row; a null source or volume is a host of
 its own; a text with no letters at all takes its prior; a corpus without any usable label takes the built-in
 function words alone; repeated rows come once; clashing extra columns are not read.
 """
@@ -239,6 +239,7 @@ def _fuse(reliable: float):
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per non-blank paragraph: language and confidence, with those of its document, whether the document
     mixes languages, and whether the declared language is the document's."""
+    docs = docs.filter(F.col("doc_id").isNotNull())
     model = fit_on(docs, sample)
     index = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LANGS]), declared(F.col("lang"))) - 1, F.lit(-1)).cast("int")
     rows = docs.select(F.col("doc_id").cast("bigint"), "source", F.col("volume_id").cast("bigint"), F.when(declared(F.col("lang")).isNull(), -1).otherwise(index).alias("code"), "text")

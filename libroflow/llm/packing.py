@@ -6,7 +6,7 @@ document id, so no window depends on a hot key and each holds about WINDOW items
 seeded with the largest item left; a bitset subset-sum over the remaining lengths, held as counts, finds the filling
 closest to the room left, and the counts used are read back from the bitsets.
 
-Defined edge cases: a null or empty text has 0 tokens and lies, as an item of size 0, in the window's first container;
+Defined edge cases: a row without an id is left out; a null or empty text has 0 tokens and lies, as an item of size 0, in the window's first container;
 capacities that are null or below 1 are left out; repeated documents are packed once; no documents or no capacities
 give an empty result; columns other than the ones named are not read.
 """
@@ -52,7 +52,7 @@ def token_counts(docs: DataFrame, key: str, text: str, tokenizer: str = TOKENIZE
             sizes = [len(enc.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], schema=schema)
 
-    return docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias(text)).mapInArrow(run, f"{key} bigint, n_tokens bigint")
+    return docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col(text).alias(text)).mapInArrow(run, f"{key} bigint, n_tokens bigint")
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
