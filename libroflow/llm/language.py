@@ -28,6 +28,7 @@ from libroflow.session import cut, small
 
 LANGS = ["es", "pt", "en", "fr", "la"]
 SAMPLE = 3000
+BYTES = 128 << 20  # of text in the sample, at most
 ROUNDS = 2
 STAY = 0.9  # prior weight that a paragraph is in its document's language
 
@@ -154,7 +155,9 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
     labelled = docs.select("doc_id", "text", declared(F.col("lang")).alias("code")).filter(F.col("code").isNotNull() & F.col("text").isNotNull())
     # the ids are chosen before any text is gathered
     chosen = labelled.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("h")).orderBy("h", "_id").limit(sample)
-    rows = labelled.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("text", "code").collect()
+    rows = small(labelled.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("text", "code"), 2 * sample, BYTES)
+    if rows is None:  # very long texts: fewer of them say as much
+        return fit_on(docs, sample // 2)
     return fit([(r[0], r[1]) for r in rows])
 
 
