@@ -12,6 +12,9 @@ repeated files report once; other input columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,16 +77,24 @@ def same_name(found: str, agreed: str) -> bool:
 
 
 def detect(cells: DataFrame, kinds: dict[str, str], aliases: dict[str, str]) -> dict[str, str]:
-    """Promotions shown by the evidence: an unknown name close to an agreed one beside it that never stands together
-    with that field in one file's record counts. Only distinct path names reach the driver, their number is checked."""
-    found = small(cells.select("path").filter(~F.col("path").isin([*kinds, *aliases])).distinct(), MAX_NAMES)
-    out = {}
-    for (path,) in found or []:
-        at, _, name = path.rpartition(".")
-        near = [k for k in kinds if k.rpartition(".")[0] == at and same_name(name, k.rpartition(".")[2])]
-        if len(near) == 1:
-            out[path] = near[0]
-    return out
+    """Promotions shown by the evidence: an unknown name that is another writing of exactly one agreed name beside it.
+    The names are compared where they are; only those that match reach the driver, their number is checked."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for path in pdf["path"]:
+                at, _, name = path.rpartition(".")
+                near = [k for k in kinds if k.rpartition(".")[0] == at and same_name(name, k.rpartition(".")[2])]
+                if len(near) == 1:
+                    rows.append((path, near[0]))
+            yield pd.DataFrame(rows, columns=["path", "agreed"])
+
+    unknown = cells.select("path").filter(~F.col("path").isin([*kinds, *aliases])).distinct()
+    found = small(unknown.mapInPandas(run, "path string, agreed string"), MAX_NAMES)
+    if found is None:
+        raise ValueError(f"more than {MAX_NAMES} names like agreed ones: this is another layout")
+    return {r[0]: r[1] for r in found}
 
 
 def departures(cells: DataFrame, key: str, kinds: dict[str, str], aliases: dict[str, str], spark: SparkSession) -> DataFrame:
