@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from libroflow.functions import dates, geometry, similarity, text
-from libroflow.operators import entity, evaluate, layout, repair, select
+from libroflow.operators import entity, evaluate, folio, layout, repair, select
 from libroflow.session import table
 
 QUERIES: dict = {}
@@ -581,3 +581,57 @@ def density_colours(spark, sf_dir):
     c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     top = c.agg(F.max("n").alias("top"))
     return c.join(F.broadcast(top)).select("user_id", geometry.ramp(F.col("n") / F.col("top")).alias("c")).select("user_id", "c.blue", "c.red")
+
+
+# -- page components -------------------------------------------------------------------------------------------------
+
+_SIDES = """sided AS (SELECT *, ['unbound', 'recto', 'verso'][(image % 3 + 1)::INT] AS side FROM boxes)"""
+_LABELS = f"""{_SIDES}, cnt AS (SELECT image, least(greatest(floor(("left" + "right") / 2.0 / 62.5), 0), 19)::INT AS bin, count(*) AS n FROM boxes GROUP BY ALL),
+    grid AS (SELECT image, side, unnest(range(20))::INT AS bin FROM (SELECT DISTINCT image, side FROM sided)),
+    dens AS (SELECT g.image, g.side, g.bin, coalesce(n, 0) / max(coalesce(n, 0)) OVER (PARTITION BY g.image) AS d FROM grid g LEFT JOIN cnt c ON c.image = g.image AND c.bin = g.bin),
+    stp AS (SELECT image, side, bin, lead(d) OVER (PARTITION BY image ORDER BY bin) - d AS step FROM dens),
+    zon AS (SELECT *, CASE WHEN bin < CASE WHEN side = 'unbound' THEN 10 ELSE 6 END THEN 'left' WHEN side = 'verso' AND bin >= 13 THEN 'right' END AS zone FROM stp WHERE step IS NOT NULL),
+    rnk AS (SELECT *, CASE WHEN side = 'recto' OR zone = 'right' THEN 2 ELSE 1 END AS wanted, row_number() OVER (PARTITION BY image, zone ORDER BY abs(step) DESC, bin) AS k
+            FROM zon WHERE zone IS NOT NULL AND (side = 'recto' OR zone = 'right' OR abs(step) > 0)),
+    cut AS (SELECT image, list_sort(list((bin + 1) * 62.5) FILTER (zone = 'left')) AS l, list_sort(list((bin + 1) * 62.5) FILTER (zone = 'right')) AS r FROM rnk WHERE k <= wanted GROUP BY image),
+    lab AS (SELECT s.*, CASE side WHEN 'unbound' THEN CASE WHEN ("left" + "right") / 2.0 < l[1] THEN 'margin' ELSE 'text_region' END
+        WHEN 'recto' THEN CASE WHEN l[2] IS NULL THEN 'text_region' WHEN ("left" + "right") / 2.0 < l[1] THEN 'facing_folio' WHEN ("left" + "right") / 2.0 < l[2] THEN 'margin' ELSE 'text_region' END
+        ELSE CASE WHEN l[1] IS NULL OR r[2] IS NULL THEN 'text_region' WHEN ("left" + "right") / 2.0 < l[1] THEN 'margin' WHEN ("left" + "right") / 2.0 > r[1] THEN 'facing_folio' ELSE 'text_region' END END AS label
+        FROM sided s LEFT JOIN cut USING (image))"""
+
+
+def _sided(spark, sf_dir):
+    side = F.when(F.col("image") % 3 == 0, "unbound").when(F.col("image") % 3 == 1, "recto").otherwise("verso")
+    return _boxes(spark, sf_dir).withColumn("side", side)
+
+
+@query(f"WITH {_BOXES}, {_LABELS} SELECT image, box_id, label FROM lab")
+def component_labels(spark, sf_dir):
+    return folio.labelled(_sided(spark, sf_dir), "image", "side", 1250, 20).select("image", "box_id", "label")
+
+
+@query(f"""WITH {_BOXES}, {_LABELS}, m AS (SELECT *, max(CASE WHEN label = 'margin' THEN "right" END) OVER (PARTITION BY image) AS edge FROM lab)
+    SELECT image, box_id, CASE WHEN label = 'text_region' AND "right" <= edge THEN 'margin' ELSE label END AS label FROM m""")
+def component_margins(spark, sf_dir):
+    return folio.pulled_in(folio.labelled(_sided(spark, sf_dir), "image", "side", 1250, 20), "image").select("image", "box_id", "label")
+
+
+@query(None)
+def component_classes(spark, sf_dir):
+    return folio.classified(_sided(spark, sf_dir), "image", "side", 1250, 25000, 20).select("image", "box_id", "label")
+
+
+@query("""WITH m AS (SELECT DISTINCT volume_id, entry_key, person_id, name FROM person_mentions), e AS (SELECT DISTINCT entry_key, entry_id FROM entries),
+    j AS (SELECT volume_id, entry_key, entry_id, person_id, volume_id::VARCHAR || '-' || entry_id || '-' || person_id AS mention_id, coalesce(name, '') || '|' || volume_id::VARCHAR AS g FROM m JOIN e USING (entry_key)),
+    k AS (SELECT volume_id, CASE WHEN g LIKE '|%' THEN mention_id ELSE g END AS g, mention_id, entry_key, person_id FROM j),
+    f AS (SELECT volume_id, g, min({'pos': entry_key, 'person_id': person_id}) AS first FROM k GROUP BY ALL),
+    n AS (SELECT volume_id, g, volume_id::VARCHAR || '-P' || lpad(row_number() OVER (PARTITION BY volume_id ORDER BY first)::VARCHAR, 5, '0') AS cluster_id FROM f)
+    SELECT mention_id, cluster_id FROM k JOIN n USING (volume_id, g)""")
+def volume_people(spark, sf_dir):
+    """Mentions of one name in one volume as one person, numbered in order of first mention."""
+    from libroflow.plans.pipeline import volume_people as build
+
+    m = table(spark, sf_dir, "person_mentions").select("volume_id", "entry_key", "person_id", "name").distinct()
+    people = m.join(table(spark, sf_dir, "entries").select("entry_key", "entry_id").distinct(), "entry_key").withColumn("pos", F.col("entry_key"))
+    named = people.filter(F.length("name") > 0).select(F.concat_ws("-", F.col("volume_id").cast("string"), "entry_id", "person_id").alias("mention_id"), F.concat("name", F.lit("|"), F.col("volume_id").cast("string")).alias("group"))
+    return build(people, named).select("mention_id", "cluster_id")
