@@ -149,3 +149,29 @@ def test_hot_lookup(spark):
     assert cut(right).count() == 1500
 
 
+
+
+def test_pipeline(spark):
+    from libroflow.plans.pipeline import volume_edges, volume_events, volume_people
+
+    people = spark.createDataFrame([(5, 0, "1-01", "P1"), (5, 0, "1-01", "P2"), (5, 1, "1-02", "P1")], "volume_id long, pos int, entry_id string, person_id string")
+    links = spark.createDataFrame([("5-1-01-P2", "g"), ("5-1-02-P1", "g")], "mention_id string, group string")
+    ids = {(r.entry_id, r.person_id): r.cluster_id for r in volume_people(people, links).collect()}
+    assert ids == {("1-01", "P1"): "5-P00001", ("1-01", "P2"): "5-P00002", ("1-02", "P1"): "5-P00002"}
+    named = volume_people(people, links)
+    edges = spark.createDataFrame([(5, "1-01", "P1", "P2", "parent"), (5, "1-02", "P1", "P9", "spouse"), (5, "1-02", "P1", "P1", "friend")], "volume_id long, entry_id string, src string, dst string, rel string")
+    assert sorted((r.src, r.dst, r.rel) for r in volume_edges(edges, named).collect()) == [("5-P00001", "5-P00002", "parent"), ("5-P00002", "P9", "spouse")]
+    events = spark.createDataFrame([(5, "1-01", 0, "baptism", "d", ["P2", "P1", "P2"], ["P9"]), (5, "1-02", 0, "burial", None, None, None)], "volume_id long, entry_id string, event_pos int, type string, date string, principals array<string>, witnesses array<string>")
+    got = {r.event_id: (r.principals, r.witnesses) for r in volume_events(events, named).collect()}
+    assert got == {"1-01-E00": (["5-P00002", "5-P00001"], ["P9"]), "1-02-E00": ([], [])}
+
+
+def test_sparse_components(spark):
+    from libroflow.operators import folio
+
+    boxes = [(1, i, "unbound", 500, 10 * i, 600, 10 * i + 9, "text_region") for i in range(10)] + [(1, 99, "unbound", 900, 400, 910, 410, "text_region")]
+    df = spark.createDataFrame(boxes, "image long, box_id long, side string, left long, top long, right long, bottom long, label string")
+    got = {r.box_id: r.label for r in folio.sparse_to_other(df, "image").collect()}
+    assert got[99] == "other" and sum(v == "text_region" for v in got.values()) == 10
+    shapes = spark.createDataFrame([(1, 0, 0, 10, 100, "text_region"), (2, 0, 0, 10, 100, "facing_folio")], "box_id long, left long, top long, right long, bottom long, label string")
+    assert {r.box_id: r.label for r in folio.odd_shapes(shapes).collect()} == {1: "other", 2: "facing_folio"}
