@@ -35,6 +35,17 @@ def micro(scores: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("precision", p).withColumn("recall", r).withColumn("f", f_score(F.col("precision"), F.col("recall")))
 
 
+def is_empty(c: Column) -> Column:
+    """Null, or a list without elements."""
+    return c.isNull() | (F.size(c) == 0)
+
+
+def text_metric(pairs: DataFrame, truth: str, test: str) -> DataFrame:
+    """One row: similarity and its complement summed over the pairs, and precision = recall = F = their mean."""
+    s = text_similarity(pairs, truth, test).agg(F.sum("similarity").alias("tp"), F.sum(1 - F.col("similarity")).alias("fp"), F.count("similarity").alias("n"))
+    return s.withColumn("f", ratio(F.col("tp"), F.col("n")))
+
+
 def text_similarity(pairs: DataFrame, truth: str, test: str, out: str = "similarity") -> DataFrame:
     return pairs.withColumn(out, indel_ratio(F.col(truth), F.col(test)))
 

@@ -33,6 +33,21 @@ def binarized(pixels: DataFrame, image: str, value: str, quantile: float = 0.1)
     return pixels.join(bar, image).withColumn("black", F.col(value) < F.col("_q")).drop("_q")
 
 
+def colours(pixels: DataFrame, image: str, value: str, bar: float = 60.0) -> DataFrame:
+    """(image, colour): two values are `bin`, little deviation (population) is `gray`, else `semi-bin`."""
+    kind = F.when(F.count_distinct(value) <= 2, "bin").when(F.stddev_pop(value) < bar, "gray").otherwise("semi-bin")
+    return pixels.groupBy(image).agg(kind.alias("colour"))
+
+
+def folder_colours(files: DataFrame, folder: str, name: str, colour: str) -> DataFrame:
+    """The colour of a folder of line images: that of its first file, or of its first two if they agree, else gray."""
+    # the two smallest names by one aggregation; no folder is sorted
+    firsts = files.groupBy(folder).agg(F.min(F.struct(name, colour)).alias("a"), F.count(F.lit(1)).alias("n"))
+    others = files.join(firsts, folder).filter(F.col(name) != F.col(f"a.{name}")).groupBy(folder).agg(F.min(F.struct(name, colour)).alias("b"))
+    vote = F.when(F.col("b").isNull() | (F.col(f"a.{colour}") == F.col(f"b.{colour}")), F.col(f"a.{colour}")).otherwise("gray")
+    return firsts.join(others, folder, "left").select(folder, vote.alias(colour))
+
+
 def tile_histogram(pixels: DataFrame, image: str, k: int) -> DataFrame:
     """White tiles per column of tiles: black first by columns, then by rows, where more than k/10 are black."""
     first = pixels.groupBy(image, F.floor(F.col("y") / k).alias("ty"), "x").agg((F.sum(F.col("black").cast("int")) > k / 10).alias("black"))

@@ -359,6 +359,18 @@ def indel_ratio(spark, sf_dir):
     return p.select("record_key", F.round(similarity.indel_ratio(F.col("truth.name"), F.col("name")), 6).alias("similarity"))
 
 
+@query(f"""{_FIRST}, p AS (SELECT t.name AS a, r.name AS b FROM r JOIN t USING (group_id) WHERE r.record_key <> t.record_key AND length(t.name) > 0 AND length(r.name) > 0), s AS (SELECT {_INDEL} AS x FROM p)
+    SELECT round(sum(x), 3) AS tp, round(sum(1 - x), 3) AS fp, count(x) AS n, round(avg(x), 6) AS f FROM s""")
+def text_metric(spark, sf_dir):
+    p = _pairs(spark, sf_dir).filter((F.length("truth.name") > 0) & (F.length("name") > 0)).select(F.col("truth.name").alias("a"), F.col("name").alias("b"))
+    return evaluate.text_metric(p, "a", "b").select(F.round("tp", 3).alias("tp"), F.round("fp", 3).alias("fp"), "n", F.round("f", 6).alias("f"))
+
+
+@query("SELECT DISTINCT mention_key, titles IS NULL OR len(titles) = 0 AS no_titles, relationships IS NULL OR len(relationships) = 0 AS no_links FROM person_mentions")
+def empty_fields(spark, sf_dir):
+    return table(spark, sf_dir, "person_mentions").select("mention_key", evaluate.is_empty(F.col("titles")).alias("no_titles"), evaluate.is_empty(F.col("relationships")).alias("no_links")).distinct()
+
+
 @query(f"""{_FIRST}, l AS (SELECT 'occupation' AS field, t.occupation AS a, r.occupation AS b FROM r JOIN t USING (group_id) WHERE r.record_key <> t.record_key
         UNION ALL SELECT 'origin', t.origin, r.origin FROM r JOIN t USING (group_id) WHERE r.record_key <> t.record_key),
     s AS (SELECT field, coalesce(a, '') = '' AND coalesce(b, '') <> '' AS nf, a, b, CASE WHEN length(a) > 0 AND length(b) > 0 THEN {_INDEL} WHEN a = b THEN 1.0 ELSE 0.0 END AS sim FROM l),
@@ -513,9 +525,19 @@ def quantile_binarize(spark, sf_dir):
     return layout.binarized(_pixels(spark, sf_dir), "image", "v").select("image", "y", "x", "black")
 
 
-@query(f"WITH {_PIXELS} SELECT image, CASE WHEN stddev_pop(v) < 0.125 THEN 'gray' ELSE 'semi-bin' END AS colour FROM pixels GROUP BY 1")
+_COLOURS = "col AS (SELECT image, CASE WHEN count(DISTINCT v) <= 2 THEN 'bin' WHEN stddev_pop(v) < 0.125 THEN 'gray' ELSE 'semi-bin' END AS colour FROM pixels GROUP BY 1)"
+
+
+@query(f"WITH {_PIXELS}, {_COLOURS} SELECT image, colour FROM col")
 def binarized_colour(spark, sf_dir):
-    return _pixels(spark, sf_dir).groupBy("image").agg(F.when(F.stddev_pop("v") < 0.125, "gray").otherwise("semi-bin").alias("colour"))
+    return layout.colours(_pixels(spark, sf_dir), "image", "v", 0.125)
+
+
+@query(f"""WITH {_PIXELS}, {_COLOURS}, f AS (SELECT label, image, colour, row_number() OVER (PARTITION BY label ORDER BY image) AS k FROM col JOIN embeddings ON vec_id = image)
+    SELECT label, CASE WHEN count(DISTINCT colour) = 1 THEN min(colour) ELSE 'gray' END AS colour FROM f WHERE k <= 2 GROUP BY label""")
+def folder_colour(spark, sf_dir):
+    files = layout.colours(_pixels(spark, sf_dir), "image", "v", 0.125).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), "label"), "image")
+    return layout.folder_colours(files, "label", "image", "colour")
 
 
 _HISTOGRAM = """f AS (SELECT image, y // 2 AS ty, x, sum(black::INT) > 0.2 AS black FROM bw GROUP BY ALL), s AS (SELECT image, ty, x // 2 AS tx, sum(black::INT) > 0.2 AS black FROM f GROUP BY ALL),
