@@ -601,8 +601,8 @@ def best_candidate(spark, sf_dir):
 @query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), m AS (SELECT user_id, n / (max(n) OVER ()) AS d FROM c) SELECT user_id, trunc(255 * (1 - d))::INT AS blue, trunc(255 * d)::INT AS red FROM m""")
 def density_colours(spark, sf_dir):
     c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    top = c.agg(F.max("n").alias("top"))
-    return c.join(F.broadcast(top)).select("user_id", geometry.ramp(F.col("n") / F.col("top")).alias("c")).select("user_id", "c.blue", "c.red")
+    top = c.agg(F.max("n")).first()[0] or 1  # one number
+    return c.select("user_id", geometry.ramp(F.col("n") / F.lit(top)).alias("c")).select("user_id", "c.blue", "c.red")
 
 
 # -- page components -------------------------------------------------------------------------------------------------
