@@ -377,7 +377,7 @@ def empty_fields(spark, sf_dir):
     c AS (SELECT field, CASE WHEN nf THEN 0 WHEN a IS NOT NULL AND b IS NOT NULL THEN sim WHEN a IS NULL AND b IS NULL THEN 1 ELSE 0 END AS tp,
         CASE WHEN nf THEN 0 WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 - sim WHEN a IS NULL AND b IS NULL THEN 0 ELSE 1 END AS fp, CASE WHEN nf THEN 1 ELSE 0 END AS null_fp FROM s),
     g AS (SELECT field, sum(tp) AS tp, sum(fp) AS fp, sum(null_fp) AS null_fp FROM c GROUP BY 1)
-    SELECT field, round(tp, 4) AS tp, round(fp, 4) AS fp, round(null_fp, 4) AS null_fp, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fp), 4) AS f FROM g""")
+    SELECT field, round(tp, 4) AS tp, round(fp, 4) AS fp, round(null_fp::DOUBLE, 4) AS null_fp, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fp), 4) AS f FROM g""")
 def field_metrics(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     long = p.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"truth.{f}").alias("a"), F.col(f).alias("b")) for f in ("occupation", "origin")])).alias("x")).select("x.*")
@@ -578,7 +578,7 @@ def smoothing(spark, sf_dir):
 
 
 @query(f"""WITH {_COUNTS}, d AS (SELECT user_id, hour, lead(n) OVER (PARTITION BY user_id ORDER BY hour) - n AS step FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(step) DESC, hour) AS rank FROM d WHERE step IS NOT NULL)
-    SELECT user_id, hour, step, rank FROM r WHERE rank <= 2""")
+    SELECT user_id, hour, step, rank::INT AS rank FROM r WHERE rank <= 2""")
 def diff_top2(spark, sf_dir):
     return layout.biggest_steps(_hours(spark, sf_dir), "user_id", "hour", "n", 2).select("user_id", "hour", "step", "rank")
 
