@@ -42,3 +42,37 @@ def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_people": p2_people, "p6_found": p6_found, "p6_people": p6_people, "p6_events": p6_events}
+
+
+def _sql_list(rows: list[tuple[str, str]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in rows)
+
+
+# Each JSON node with its path without array places, the agreed path and the JSON type.
+_CELLS = f"""al(found, agreed) AS (VALUES {_sql_list(sorted(approved_paths().items()))}),
+    t AS (SELECT file_id, regexp_replace(substr(fullkey, 3), '\\[[0-9]+\\]', '', 'g') AS path, fullkey, type, value, atom, regexp_matches(fullkey, '\\]$') AS element FROM extraction_files, json_tree(body) WHERE fullkey <> '$'),
+    c AS (SELECT file_id, path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+          coalesce(agreed, k.field_path, path) AS canon
+          FROM (SELECT DISTINCT file_id, path, type FROM t WHERE NOT element) LEFT JOIN al ON found = path LEFT JOIN field_catalogue k ON lower(k.field_path) = lower(path))"""
+
+# A reference as its number within the entry, and the entry it names.
+_REF = "regexp_replace(regexp_replace(upper(trim(%s)), '^[0-9]+-[0-9]+-', ''), '^P0*([0-9])', 'P\\1')"
+
+ORACLES = {
+    "p2_found": f"""WITH {_CELLS}
+        SELECT DISTINCT file_id, path AS field_path, 'renamed' AS change, canon AS catalogue_path FROM c SEMI JOIN field_catalogue f ON f.field_path = canon WHERE path <> canon
+        UNION SELECT file_id, path, 'type_changed', canon FROM c JOIN field_catalogue f ON f.field_path = canon WHERE kind <> 'null' AND kind <> f.json_type
+        UNION SELECT file_id, path, 'added', '' FROM c ANTI JOIN field_catalogue f ON f.field_path = canon
+        UNION SELECT file_id, field_path, 'removed', field_path FROM (SELECT DISTINCT file_id FROM c) x, field_catalogue f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.file_id = x.file_id AND c.canon = f.field_path)""",
+    "p6_found": f"""WITH e AS (SELECT file_id, i AS entry_pos, json_extract(body, '$.entries[' || (i - 1) || ']') AS e FROM (SELECT file_id, body, unnest(range(1, json_array_length(body, '$.entries')::INT + 1)) AS i FROM extraction_files)),
+        p AS (SELECT file_id, entry_pos, i AS pos, json_extract(e, '$.data.people[' || (i - 1) || ']') AS p FROM (SELECT *, unnest(range(1, json_array_length(e, '$.data.people')::INT + 1)) AS i FROM e)),
+        v AS (SELECT file_id, entry_pos, i AS pos, json_extract(e, '$.data.events[' || (i - 1) || ']') AS v FROM (SELECT *, unnest(range(1, json_array_length(e, '$.data.events')::INT + 1)) AS i FROM e)),
+        ids AS (SELECT file_id, entry_pos, {_REF % "p ->> '$.id'"} AS id, min(pos) AS child FROM p GROUP BY ALL),
+        r AS (SELECT file_id, entry_pos, 'person' AS parent_kind, pos AS parent_pos, unnest(CASE json_type(p -> '$.relationships') WHEN 'ARRAY' THEN (p -> '$.relationships')::JSON[] WHEN 'OBJECT' THEN [p -> '$.relationships'] ELSE [] END) AS x FROM p),
+        k(name, role) AS (VALUES ('principals', 'principal'), ('principal', 'principal'), ('principal_ids', 'principal'), ('principle', 'principal'), ('witnesses', 'witness'), ('witness', 'witness'), ('testigos', 'witness')),
+        w AS (SELECT file_id, entry_pos, 'event' AS parent_kind, pos AS parent_pos, role, json_extract(v, '$.' || name) AS m FROM v, k),
+        l AS (SELECT file_id, entry_pos, parent_kind, parent_pos, x ->> '$.relationship_type' AS role, x ->> '$.related_person' AS ref FROM r
+              UNION ALL SELECT file_id, entry_pos, parent_kind, parent_pos, role, unnest(CASE json_type(m) WHEN 'ARRAY' THEN (m)::VARCHAR[] WHEN 'VARCHAR' THEN [m ->> '$'] ELSE [] END) FROM w)
+        SELECT DISTINCT l.file_id, l.entry_pos::INT AS entry_pos, parent_kind, parent_pos::INT AS parent_pos, role, coalesce(child, 0)::INT AS child_pos
+        FROM l LEFT JOIN ids ON ids.file_id = l.file_id AND ids.entry_pos = l.entry_pos AND ids.id = {_REF % "ref"} WHERE trim(ref) <> ''""",
+}
