@@ -88,6 +88,24 @@ def id_surgery(spark, sf_dir):
     return j.select("mention_id", text.before_dash(F.col("mention_id")).alias("volume"), text.after_last_dash(F.col("mention_id")).alias("person"), text.pad(text.before_dash(F.col("entry_id")), 4).alias("image"), text.image_url("images.example", F.col("entry_id")).alias("url")).distinct()
 
 
+@query(f"""WITH {_LINES}, k AS (SELECT DISTINCT entry_key, line_no, line FROM c WHERE NOT {_MARGINAL}),
+    t AS (SELECT entry_key, regexp_replace(regexp_replace(string_agg(CASE WHEN line LIKE '%-' THEN regexp_replace(line, '-$', '') ELSE line || ' ' END, '' ORDER BY line_no), ' {{2,}}', ' ', 'g'), ' $', '') AS raw FROM k GROUP BY entry_key),
+    e AS (SELECT DISTINCT entry_key, volume_id, split_part(entry_id, '-', 1)::INT AS image FROM entries WHERE volume_id IS NOT NULL)
+    SELECT volume_id::VARCHAR || '/' || image::VARCHAR AS source, lpad(image::VARCHAR, 4, '0') || '-' || lpad(row_number() OVER (PARTITION BY volume_id, image ORDER BY entry_key)::VARCHAR, 2, '0') AS entry_id, raw
+    FROM e JOIN t USING (entry_key) WHERE length(raw) > 0""")
+def register_parse(spark, sf_dir):
+    """The entries written as register markup, one file per image, and parsed again."""
+    from libroflow.sources.registers import parse_markup
+
+    e = table(spark, sf_dir, "entries").filter(F.col("raw").isNotNull() & F.col("volume_id").isNotNull()).select("entry_key", "volume_id", text.before_dash(F.col("entry_id")).cast("int").alias("image"), "raw").distinct()
+    n = F.row_number().over(Window.partitionBy("volume_id", "image").orderBy("entry_key"))
+    begin = F.when(F.col("n") == 1, F.array(F.format_string('<image id="%d" type="jpg">', "image"))).otherwise(F.array().cast("array<string>"))
+    body = F.concat(begin, F.array(F.lit('<entry id="1">')), F.split("raw", "\n"), F.array(F.lit("</entry>")))
+    source = F.concat_ws("/", F.col("volume_id").cast("string"), F.col("image").cast("string"))
+    lines = e.withColumn("n", n).select(source.alias("source"), "n", F.posexplode(body).alias("i", "line")).select("source", (F.col("n").cast("bigint") * 10**9 + F.col("i")).alias("line_no"), "line")
+    return parse_markup(lines).select("source", "entry_id", "raw")
+
+
 # -- selection -------------------------------------------------------------------------------------------------------
 
 
