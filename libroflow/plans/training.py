@@ -32,7 +32,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat people table, linked to its entry by position."""
-    fields = ["id", "name", "rank", "origin", "ethnicity", "age", "legitimate", "occupation", "phenotype", "free"]
+    fields = _PEOPLE
     return entity(_nodes(spark, sf_dir), "file_id", "entries.data.people", fields).select("file_id", F.col("pos_path")[0].alias("entry_pos"), F.col("pos_path")[1].alias("person_pos"), *fields)
 
 
@@ -55,10 +55,24 @@ _CELLS = f"""al(found, agreed) AS (VALUES {_sql_list(sorted(approved_paths().ite
           coalesce(agreed, k.field_path, path) AS canon
           FROM (SELECT DISTINCT file_id, path, type FROM t WHERE NOT element) LEFT JOIN al ON found = path LEFT JOIN field_catalogue k ON lower(k.field_path) = lower(path))"""
 
+_PEOPLE = ["id", "name", "rank", "origin", "ethnicity", "age", "legitimate", "occupation", "phenotype", "free"]
+_NODES = """e AS (SELECT file_id, i AS entry_pos, json_extract(body, '$.entries[' || (i - 1) || ']') AS e FROM (SELECT file_id, body, unnest(range(1, json_array_length(body, '$.entries')::INT + 1)) AS i FROM extraction_files)),
+    n AS (SELECT file_id, entry_pos, i AS pos, json_extract(e, '$.data.{0}[' || (i - 1) || ']') AS x FROM (SELECT *, unnest(range(1, json_array_length(e, '$.data.{0}')::INT + 1)) AS i FROM e))"""
+
+
+def _scalar_sql(at: str, field: str) -> str:
+    """The largest scalar text under any name of the field."""
+    names = [field, *[k.rpartition(".")[2] for k, v in approved_paths().items() if v == f"{at}.{field}"]]
+    each = ", ".join(f"CASE WHEN json_type(x, '$.{n}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN x ->> '$.{n}' END" for n in names)
+    return f"list_max([{each}]) AS {field}"
+
+
 # A reference as its number within the entry, and the entry it names.
 _REF = "regexp_replace(regexp_replace(upper(trim(%s)), '^[0-9]+-[0-9]+-', ''), '^P0*([0-9])', 'P\\1')"
 
 ORACLES = {
+    "p6_people": f"""WITH {_NODES.format("people")} SELECT file_id, entry_pos::INT AS entry_pos, pos::INT AS person_pos, {", ".join(_scalar_sql("entries.data.people", f) for f in _PEOPLE)} FROM n""",
+    "p6_events": f"""WITH {_NODES.format("events")} SELECT file_id, entry_pos::INT AS entry_pos, pos::INT AS event_pos, {", ".join(_scalar_sql("entries.data.events", f) for f in ("type", "date"))} FROM n""",
     "p2_found": f"""WITH {_CELLS}
         SELECT DISTINCT file_id, path AS field_path, 'renamed' AS change, canon AS catalogue_path FROM c SEMI JOIN field_catalogue f ON f.field_path = canon WHERE path <> canon
         UNION SELECT file_id, path, 'type_changed', canon FROM c JOIN field_catalogue f ON f.field_path = canon WHERE kind <> 'null' AND kind <> f.json_type
