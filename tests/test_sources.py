@@ -6,7 +6,7 @@ from libroflow.sources import registers, volumes
 from libroflow.streaming.ingest import entries_stream
 
 MARKUP = """<?xml version="1.0"?>
-<ssda>
+<register>
 <volume type="baptism" country="Cuba" state="Norte" city="Altamar" institution="Parroquia" id="419" title="Libro 1">
 <image id="1006" type="jpg">
 <entry id="1">
