@@ -109,6 +109,28 @@ def entity(nodes: DataFrame, key: str, path: str, fields: list[str]) -> DataFram
     return objects.join(pivot, (F.col(key) == F.col("_k")) & (F.col("node") == F.col("_p")), "left").drop("_k", "_p")
 
 
+def inner_values(nodes: DataFrame, key: str, parents: dict[str, str], flat: list[tuple[str, list[str]]]) -> DataFrame:
+    """(key, entry_pos, parent_kind, parent_pos, field, member, places, value): every scalar below the objects at the paths
+    of `parents` (path -> kind) that is no scalar member of an entity of `flat` (path, fields).
+
+    field: the agreed member of the parent; member: the path below it, without array places; places: the 1-based places
+    in the arrays below the parent, joined by dots (a lone value where the layout has a list is at place 1).
+    """
+    depth = {p: len(p.split(".")) for p, _ in parents.items()}
+    at = F.coalesce(*[F.when(F.startswith("canon", F.lit(f"{p}.")), F.lit(p)) for p in parents])
+    skip = F.lit(False)
+    for path, fields in flat:
+        owner = next(p for p in parents if path == p or path.startswith(f"{p}."))
+        lists = 2 + path.count(".") - owner.count(".")  # a list for the entries, the parents and each level below
+        skip |= F.col("canon").isin([f"{path}.{f}" for f in fields]) & F.col("label").isNotNull() & (F.size("pos_path") == lists)
+    below = nodes.filter(F.col("scalar").isNotNull()).withColumn("_at", at).filter(F.col("_at").isNotNull() & ~skip)
+    parts, n = F.split("canon", r"\."), F.coalesce(*[F.when(F.col("_at") == p, F.lit(d)) for p, d in depth.items()])
+    kind = F.coalesce(*[F.when(F.col("_at") == p, F.lit(k)) for p, k in parents.items()])
+    rest = F.array_join(F.slice(parts, n + 2, F.size(parts)), ".")
+    places = F.array_join(F.slice("pos_path", 3, F.size("pos_path")).cast("array<string>"), ".")
+    return below.select(key, F.col("pos_path")[0].alias("entry_pos"), kind.alias("parent_kind"), F.col("pos_path")[1].alias("parent_pos"), parts[n].alias("field"), rest.alias("member"), places.alias("places"), F.col("scalar").alias("value"))
+
+
 #: The agreed paths that links are made of.
 LINK_PATHS = {"entries", "entries.id", "entries.data.people", "entries.data.people.id", "entries.data.people.relationships", "entries.data.people.relationships.related_person", "entries.data.people.relationships.relationship_type", "entries.data.events.principals", "entries.data.events.witnesses"}
 

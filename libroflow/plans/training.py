@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from libroflow.operators.drift import approved_paths, catalogue_of, conform, ingest
-from libroflow.operators.shred import LINK_PATHS, entity, entry_links, shred
+from libroflow.operators.shred import LINK_PATHS, entity, entry_links, inner_values, shred
 from libroflow.session import table
 
 
@@ -41,7 +41,24 @@ def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity(_nodes(spark, sf_dir), "file_id", "entries.data.events", ["type", "date"]).select("file_id", F.col("pos_path")[0].alias("entry_pos"), F.col("pos_path")[1].alias("event_pos"), "type", "date")
 
 
-QUERIES = {"p2_found": p2_found, "p2_people": p2_people, "p6_found": p6_found, "p6_people": p6_people, "p6_events": p6_events}
+def p6_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat entries table."""
+    return entity(_nodes(spark, sf_dir), "file_id", "entries", _ENTRIES).select("file_id", F.col("pos_path")[0].alias("entry_pos"), *_ENTRIES)
+
+
+def p6_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat relationships table, linked to its person by position."""
+    at = F.col("pos_path")
+    return entity(_nodes(spark, sf_dir), "file_id", "entries.data.people.relationships", _RELATIONS).select("file_id", at[0].alias("entry_pos"), at[1].alias("person_pos"), at[2].alias("relationship_pos"), *_RELATIONS)
+
+
+def p6_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The child table of people and events: every scalar that is in no column of the other flat tables."""
+    nodes, flat = _nodes(spark, sf_dir), [("entries.data.people", _PEOPLE), ("entries.data.people.relationships", _RELATIONS), ("entries.data.events", _EVENTS)]
+    return inner_values(nodes, "file_id", {"entries.data.people": "person", "entries.data.events": "event"}, flat)
+
+
+QUERIES = {"p2_found": p2_found, "p2_people": p2_people, "p6_found": p6_found, "p6_people": p6_people, "p6_events": p6_events, "p6_entries": p6_entries, "p6_relationships": p6_relationships, "p6_values": p6_values}
 
 
 def _sql_list(rows: list[tuple[str, str]]) -> str:
@@ -56,6 +73,9 @@ _CELLS = f"""al(found, agreed) AS (VALUES {_sql_list(sorted(approved_paths().ite
           FROM (SELECT DISTINCT file_id, path, type FROM t WHERE NOT element) LEFT JOIN al ON found = path LEFT JOIN field_catalogue k ON lower(k.field_path) = lower(path))"""
 
 _PEOPLE = ["id", "name", "rank", "origin", "ethnicity", "age", "legitimate", "occupation", "phenotype", "free"]
+_EVENTS = ["type", "date"]
+_ENTRIES = ["id", "raw"]
+_RELATIONS = ["related_person", "relationship_type"]
 _NODES = """e AS (SELECT file_id, i AS entry_pos, json_extract(body, '$.entries[' || (i - 1) || ']') AS e FROM (SELECT file_id, body, unnest(range(1, json_array_length(body, '$.entries')::INT + 1)) AS i FROM extraction_files)),
     n AS (SELECT file_id, entry_pos, i AS pos, json_extract(e, '$.data.{0}[' || (i - 1) || ']') AS x FROM (SELECT *, unnest(range(1, json_array_length(e, '$.data.{0}')::INT + 1)) AS i FROM e))"""
 
@@ -70,7 +90,22 @@ def _scalar_sql(at: str, field: str) -> str:
 # A reference as its number within the entry, and the entry it names.
 _REF = "regexp_replace(regexp_replace(upper(trim(%s)), '^[0-9]+-[0-9]+-', ''), '^P0*([0-9])', 'P\\1')"
 
+# Scalars below people and events, with the member they are in, what follows it without array places, and those places.
+_VALUES = f"""al(found, agreed) AS (VALUES {_sql_list(sorted(approved_paths().items()))}),
+    s AS (SELECT file_id, substr(fullkey, 3) AS k, atom ->> '$' AS value, regexp_extract(fullkey, '^[$][.]entries[[]([0-9]+)[]][.]data[.](people|events)[[]([0-9]+)[]][.]([^.[]+)(.*)$', ['e', 'kin', 'p', 'name', 'rest']) AS x FROM extraction_files, json_tree(body) WHERE type NOT IN ('ARRAY', 'OBJECT', 'NULL')),
+    m AS (SELECT file_id, x.e::INT + 1 AS entry_pos, x.kin AS kin, x.p::INT + 1 AS pos, x.rest AS rest, value, coalesce(agreed, 'entries.data.' || x.kin || '.' || x.name) AS canon FROM s LEFT JOIN al ON found = 'entries.data.' || x.kin || '.' || x.name WHERE x.kin <> ''),
+    v AS (SELECT file_id, entry_pos, kin, pos, canon[length('entries.data.' || kin) + 2:] AS field, ltrim(regexp_replace(rest, '[[][0-9]+[]]', '', 'g'), '.') AS member, value,
+          CASE WHEN json_type = 'array' AND rest NOT LIKE '[%' THEN [1] ELSE [] END || list_transform(regexp_extract_all(rest, '[[]([0-9]+)[]]', 1), lambda i: i::INT + 1) AS places FROM m LEFT JOIN field_catalogue ON field_path = canon)"""
+
 ORACLES = {
+    "p6_entries": """SELECT file_id, i::INT AS entry_pos, CASE WHEN json_type(e, '$.id') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN e ->> '$.id' END AS id,
+        list_max([%s]) AS raw FROM (SELECT file_id, i, json_extract(body, '$.entries[' || (i - 1) || ']') AS e FROM (SELECT file_id, body, unnest(range(1, json_array_length(body, '$.entries')::INT + 1)) AS i FROM extraction_files))""" % ", ".join(f"CASE WHEN json_type(e, '$.{n}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN e ->> '$.{n}' END" for n in ("raw", "raw_text", "transcription", "text")),
+    "p6_relationships": f"""WITH {_NODES.format("people")}, r AS (SELECT file_id, entry_pos, pos, CASE json_type(x, '$.relationships') WHEN 'ARRAY' THEN (x -> '$.relationships')::JSON[] WHEN 'OBJECT' THEN [x -> '$.relationships'] ELSE [] END AS all_of FROM n)
+        SELECT file_id, entry_pos::INT AS entry_pos, pos::INT AS person_pos, i::INT AS relationship_pos, all_of[i] ->> '$.related_person' AS related_person, all_of[i] ->> '$.relationship_type' AS relationship_type
+        FROM (SELECT *, unnest(range(1, len(all_of) + 1)) AS i FROM r) WHERE json_type(all_of[i]) = 'OBJECT'""",
+    "p6_values": f"""WITH {_VALUES} SELECT file_id, entry_pos, CASE kin WHEN 'people' THEN 'person' ELSE 'event' END AS parent_kind, pos AS parent_pos, field, member, array_to_string(places, '.') AS places, value FROM v
+        WHERE NOT (member = '' AND len(places) = 0 AND (kin = 'people' AND field IN ({", ".join(f"'{f}'" for f in _PEOPLE)}) OR kin = 'events' AND field IN ('type', 'date')))
+        AND NOT (kin = 'people' AND field = 'relationships' AND len(places) = 1 AND member IN ('related_person', 'relationship_type'))""",
     "p6_people": f"""WITH {_NODES.format("people")} SELECT file_id, entry_pos::INT AS entry_pos, pos::INT AS person_pos, {", ".join(_scalar_sql("entries.data.people", f) for f in _PEOPLE)} FROM n""",
     "p6_events": f"""WITH {_NODES.format("events")} SELECT file_id, entry_pos::INT AS entry_pos, pos::INT AS event_pos, {", ".join(_scalar_sql("entries.data.events", f) for f in ("type", "date"))} FROM n""",
     "p2_found": f"""WITH {_CELLS}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from libroflow.operators.drift import approved_paths, conform, departures, edits, ingest, same_name, squash
-from libroflow.operators.shred import LINK_PATHS, entity, entry_links, shred
+from libroflow.operators.shred import LINK_PATHS, entity, entry_links, inner_values, shred
 
 KINDS = {
     "id": "number", "title": "string", "entries": "array", "entries.id": "string", "entries.data": "object", "entries.data.people": "array", "entries.data.people.id": "string",
@@ -95,3 +95,16 @@ def test_removed_and_empty(spark):
 def test_names():
     assert edits("phenotpye", "phenotype") == 1 and squash("Is_Free") == "isfree"
     assert same_name("Ethnicity", "ethnicity") and same_name("ocupation", "occupation") and not same_name("notes", "name")
+
+
+def test_inner_values(spark):
+    """Lists and objects in place of scalars, and lists, keep all their values."""
+    person = {"id": "P01", "name": "A", "titles": ["Don", "Fray"], "occupation": ["smith", "scribe"], "relationships": [{"related_person": "P02", "relationship_type": "spouse", "note": "x"}]}
+    body = {"entries": [{"id": "1", "data": {"people": [person, {"id": "P02", "titles": "Doña"}], "events": [{"type": "burial", "date": {"year": 1700, "day": {"n": 3}}, "principal": "P01"}]}}]}
+    nodes = shred(files(spark, [(1, body), (2, None)]), "file_id", "body", KINDS | {"entries.data.people.occupation": "string", "entries.data.events.date": "string"}, approved_paths())
+    flat = [("entries.data.people", ["id", "name", "occupation"]), ("entries.data.people.relationships", ["related_person", "relationship_type"]), ("entries.data.events", ["type", "date"])]
+    got = sorted(tuple(r)[2:] for r in inner_values(nodes, "file_id", {"entries.data.people": "person", "entries.data.events": "event"}, flat).collect())
+    assert got == sorted([
+        ("person", 1, "titles", "", "1", "Don"), ("person", 1, "titles", "", "2", "Fray"), ("person", 1, "occupation", "", "1", "smith"), ("person", 1, "occupation", "", "2", "scribe"),
+        ("person", 1, "relationships", "note", "1", "x"), ("person", 2, "titles", "", "1", "Doña"), ("event", 1, "date", "year", "", "1700"), ("event", 1, "date", "day.n", "", "3"), ("event", 1, "principals", "", "1", "P01"),
+    ])
