@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +18,13 @@ def _checkpoint_ready(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="libroflow-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir (own folder only where that is unset)."""
+    """Reliable checkpoint in the folder of spark.checkpoint.dir (an own folder only in local mode)."""
     spark = df.sparkSession
     _checkpoint_ready(spark)
     done = df.checkpoint(eager=True)
@@ -34,30 +34,45 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(fresh, spark)
 
 
-@contextmanager
-def static_plans(spark: SparkSession) -> Iterator[None]:
-    """Plan what runs inside without adaptive stages. An iteration has many small exchanges; adaptive planning gives
-    each a driver thread that stays for a minute, up to a thousand of them. Skew must be dealt with by the caller."""
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def apart(spark: SparkSession) -> SparkSession:
+    """A session of its own on the same cluster, for an iteration: its plans are static, and its exchanges are sized
+    by `sized`. Adaptive planning would give each of the many small exchanges a driver thread that stays for a minute.
+    The caller's session and the queries running in it are not touched."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    return own
 
 
-def hot_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, rows: int, share: int = 200, salts: int = 32, floor: int = 20_000) -> DataFrame:
+def moved(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """A checkpointed table in another session of the same cluster."""
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
+def sized(spark: SparkSession, rows: int, few: int = 50_000, many: int = 2_000_000) -> None:
+    """Exchanges of a session of one's own fit `rows`: a task for each `few` rows until all cores have three, then
+    one for each `many`."""
+    n = max(min(rows // few, 3 * spark.sparkContext.defaultParallelism), rows // many)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n + 1))
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, rows: int, share: int = 200, floor: int = 20_000) -> DataFrame:
+    """The keys that hold more than rows/share (and `floor`) of the `rows` rows: at most `share` of them."""
+    return counts.filter(F.col(n) > max(rows // share, floor)).select(F.col(key).alias("_hot"))
+
+
+def hot_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, rows: int, share: int = 200, salts: int = 32, floor: int = 20_000, hot: DataFrame | None = None) -> DataFrame:
     """Left join of `left` to `right`, whose `right_key` is unique, safe when few keys hold most of `left`.
 
     A key is hot when it holds more than rows/share (and `floor`) of the `rows` left rows, so there are at most
     `share` hot keys. Their left rows are spread over `salts` salts and their right rows repeated for each; below
-    `floor` rows in all nothing can be hot and the join is a plain one.
+    `floor` rows in all nothing can be hot and the join is a plain one (the plan differs, the result does not).
+    hot: the hot keys where the caller knows them, in a column `_hot`.
     """
     if rows <= floor:
         return left.join(right, F.col(key) == F.col(right_key), "left")
-    left = cut(left)  # read twice: for the counts and for the join
-    hot = left.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") > max(rows // share, floor)).select("_hot")
+    if hot is None:
+        left = cut(left)  # read twice: for the counts and for the join
+        hot = hot_keys(left.groupBy(F.col(key).alias("_k")).count(), "_k", "count", rows, share, floor)
     salted = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     last = F.when(F.col("_hot").isNotNull(), salts - 1).otherwise(0)
     spread = right.join(F.broadcast(hot), F.col(right_key) == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
@@ -72,3 +87,12 @@ def small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> list | Non
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return df.collect() if n <= max_rows and size <= max_bytes else None
+
+
+def bounded(df: DataFrame, what: str, max_rows: int, max_bytes: int = 64 << 20) -> list:
+    """Rows of `df`, which by the way it is made has at most `max_rows` rows; an error where they are too large to
+    send around, never a shorter list."""
+    rows = small(df, max_rows, max_bytes)
+    if rows is None:
+        raise ValueError(f"{what}: more than {max_rows} rows or {max_bytes} bytes")
+    return rows
