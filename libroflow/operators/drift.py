@@ -15,10 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from libroflow.operators.shred import shred
+from libroflow.operators.shred import NO, NUMBER, YES, members, shred
 from libroflow.session import cut, small
 
 # Names under which agreed fields are known to arrive, approved for promotion.
@@ -103,36 +104,53 @@ def departures(cells: DataFrame, key: str, kinds: dict[str, str], aliases: dict[
     layout = layout.filter(F.col("json_type") != "none")
     seen = cells.join(F.broadcast(layout), F.col("canon") == F.col("layout_path"), "left")
     leaf = lambda c: F.substring_index(c, ".", -1)
-    renamed = seen.filter(F.col("layout_path").isNotNull() & (leaf(F.col("path")) != leaf(F.col("canon")))).select(key, F.col("path").alias("field_path"), F.lit("renamed").alias("change"), F.col("canon").alias("catalogue_path"))
-    retyped = seen.filter(F.col("layout_path").isNotNull() & (F.col("kind") != "null") & (F.col("kind") != F.col("json_type"))).select(key, F.col("path").alias("field_path"), F.lit("type_changed").alias("change"), F.col("canon").alias("catalogue_path"))
-    added = seen.filter(F.col("layout_path").isNull()).select(key, F.col("path").alias("field_path"), F.lit("added").alias("change"), F.lit("").alias("catalogue_path"))
+    agreed, change = F.col("layout_path").isNotNull(), lambda name, at: F.struct(F.lit(name).alias("change"), at.alias("catalogue_path"))
+    found = F.array(
+        F.when(agreed & (leaf(F.col("path")) != leaf(F.col("canon"))), change("renamed", F.col("canon"))),
+        F.when(agreed & (F.col("kind") != "null") & (F.col("kind") != F.col("json_type")), change("type_changed", F.col("canon"))),
+        F.when(~agreed, change("added", F.lit(""))),
+    )
+    changed = seen.select(key, F.col("path").alias("field_path"), F.explode(F.array_compact(found)).alias("x")).select(key, "field_path", "x.change", "x.catalogue_path")
     have = cells.groupBy(key).agg(F.collect_set("canon").alias("have"))  # bounded by the distinct paths of one file
     removed = have.select(key, F.explode(F.array_except(F.array(*[F.lit(p) for p in kinds]), "have")).alias("field_path")) if kinds else have.select(key, F.lit("").alias("field_path")).limit(0)
     removed = removed.select(key, "field_path", F.lit("removed").alias("change"), F.col("field_path").alias("catalogue_path"))
-    return renamed.unionByName(retyped).unionByName(added).unionByName(removed).distinct()
+    return changed.unionByName(removed).distinct()
 
 
-def cells_of(nodes: DataFrame, key: str) -> DataFrame:
-    """Distinct (file, path, agreed path, type) of the members of objects, aggregated before any shuffle."""
-    return nodes.filter(F.col("label").isNotNull()).select(key, "path", "canon", "kind").distinct()
+def agreed_paths(cells: DataFrame, key: str, aliases: dict[str, str]) -> DataFrame:
+    """Adds `canon`, the agreed path: every name on the way that stands for an agreed one is replaced by it."""
+
+    def canonical(path: str) -> str:
+        at = ""
+        for name in path.split("."):
+            at = f"{at}.{name}" if at else name
+            at = aliases.get(at, at)
+        return at
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for b in it:
+            paths = b.column(1).to_pylist()
+            if len(known) > 100_000:
+                known.clear()
+            for p in set(paths) - known.keys():
+                known[p] = canonical(p)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([known[p] for p in paths], pa.string())], names=[key, "path", "kind", "canon"])
+
+    return cells.mapInArrow(run, f"{key} bigint, path string, kind string, canon string")
 
 
 def ingest(files: DataFrame, key: str, body: str, catalogue: DataFrame, approved: dict[str, list[str]] = APPROVED) -> tuple[DataFrame, DataFrame, dict[str, str]]:
-    """Shredded nodes with enforced names, the report of departures, and the promotions used."""
+    """Shredded nodes with enforced names, the report of departures, and the promotions used.
+
+    The report parses each body once, for its distinct members; the nodes are parsed when they are read.
+    """
     kinds = catalogue_of(catalogue)
     aliases = {k: v for k, v in approved_paths(approved).items() if v in kinds and k not in kinds}
-    first = shred(files, key, body, kinds, aliases)
-    cells = cut(cells_of(first, key))  # the bodies are parsed once for the report
-    more = detect(cells, kinds, aliases)
-    if more:
-        aliases = aliases | more
-        first = shred(files, key, body, kinds, aliases)
-        cells = cut(cells_of(first, key))
-    return first, departures(cells, key, kinds, aliases, files.sparkSession), aliases
-
-
-YES = ["true", "yes", "y", "1", "si", "sí", "sim", "oui", "legitimate", "legítimo", "legitimo", "legítima", "legitima", "free", "freed", "libre", "livre"]
-NO = ["false", "no", "n", "0", "não", "nao", "non", "illegitimate", "natural", "enslaved", "slave", "esclavo", "esclava"]
+    cells = cut(members(files, key, body))
+    aliases = aliases | dict(sorted(detect(cells, kinds, aliases).items()))
+    report = departures(agreed_paths(cells, key, aliases), key, kinds, aliases, files.sparkSession)
+    return shred(files, key, body, kinds, aliases), report, aliases
 
 
 def replay(scalar, json_type: str):
@@ -141,38 +159,48 @@ def replay(scalar, json_type: str):
         low = F.lower(F.trim(scalar))
         return F.when(low.isin(YES), F.lit("true")).when(low.isin(NO), F.lit("false"))
     if json_type == "number":
-        return F.regexp_extract(scalar, r"^\s*(-?\d+(?:\.\d+)?)\s*$", 1)
+        return F.regexp_extract(scalar, NUMBER, 1)
     return scalar
 
 
 def conform(nodes: DataFrame, key: str, record_path: str, kinds: dict[str, str]) -> DataFrame:
     """One consistent table of the objects at `record_path`: a typed column per agreed scalar member, an array column
-    per agreed list of scalars, and `_rescued`, the JSON object of all that is not in a typed column."""
+    per agreed list of scalars, and `_rescued`, the JSON object of all that is not in a typed column, with the
+    members of the record's agreed inner objects. Lists of objects are tables of their own, read at their own path.
+    Of a field under several names, one value is in the column and the others are in `_rescued`.
+    """
     prefix = f"{record_path}." if record_path else ""
     own = {p[len(prefix):]: t for p, t in kinds.items() if p.startswith(prefix) and "." not in p[len(prefix):]}
     nested = {p.rpartition(".")[0] for p in kinds}
+    spark_type = {"string": "string", "number": "double", "boolean": "boolean"}
     objects = nodes.filter((F.col("canon") == record_path) & (F.col("kind") == "object")).select(F.col(key).alias("_k"), F.col("node").alias("_n"), "pos_path")
     members = nodes.filter(F.col("parent").isNotNull()).select(key, "node", "parent", "label", "path", "canon", "kind", "scalar", "raw")
-    aggs = []
+    rescued = F.collect_set(F.when(F.col("raw").isNotNull(), F.struct(F.col("path").alias("k"), F.col("raw").alias("v"))))
+    none = F.array().cast("array<struct<k: string, v: string>>")
+    aggs = [rescued.alias("_all")]
     for f, t in own.items():
         full = prefix + f
-        if t in ("string", "number", "boolean"):
+        if t in spark_type:  # one value at most has the agreed path
             direct = F.when((F.col("canon") == full) & (F.col("kind") == t), F.col("scalar"))
             again = F.when((F.col("canon") == full) & F.col("kind").isin("string", "number", "boolean"), replay(F.col("scalar"), t))
             text = F.coalesce(F.max(direct), F.max(F.when(again != "", again)))
-            aggs.append((text.cast({"string": "string", "number": "double", "boolean": "boolean"}[t])).alias(f))
+            aggs.append(text.cast(spark_type[t]).alias(f))
         elif full not in nested and t == "array":
-            lone = F.when((F.col("canon") == full) & F.col("kind").isin("string", "number"), F.col("scalar"))
-            aggs.append(F.collect_set(lone).alias(f"_lone_{f}"))
-    rescued = F.to_json(F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("raw").isNotNull(), F.struct(F.col("path").alias("k"), F.col("raw").alias("v")))))))
-    cells = members.filter(F.col("label").isNotNull()).groupBy(F.col(key), F.col("parent")).agg(*aggs, rescued.alias("_rescued"))
-    out = objects.join(cells, (F.col("_k") == F.col(key)) & (F.col("_n") == F.col("parent")), "left")
+            lone = F.when((F.col("canon") == full) & F.col("kind").isin("string", "number", "boolean"), F.col("scalar"))
+            aggs.append(F.array_sort(F.collect_set(lone)).alias(f"_lone_{f}"))
+    cells = members.filter(F.col("label").isNotNull()).groupBy(F.col(key), F.col("parent")).agg(*aggs)
+    out = objects.join(cells, (F.col("_k") == F.col(key)) & (F.col("_n") == F.col("parent")), "left").drop(key, "parent")
     for f, t in own.items():
         full = prefix + f
-        if full not in nested and t == "array":
+        if t == "object":
+            inside = members.filter((F.col("canon") == full) & (F.col("kind") == "object")).select(F.col(key).alias("_ka"), F.col("node").alias("_a"), F.col("parent").alias("_pa"))
+            more = members.filter("label is not null and raw is not null").join(inside, (F.col(key) == F.col("_ka")) & (F.col("parent") == F.col("_a"))).groupBy("_ka", "_pa").agg(rescued.alias("_more"))
+            out = out.join(more, (F.col("_k") == F.col("_ka")) & (F.col("_n") == F.col("_pa")), "left").withColumn("_all", F.concat(F.coalesce("_all", none), F.coalesce("_more", none))).drop("_ka", "_pa", "_more")
+        elif t == "array" and full not in nested:
             arrays = members.filter((F.col("canon") == full) & (F.col("kind") == "array")).select(F.col(key).alias("_ka"), F.col("node").alias("_a"), F.col("parent").alias("_pa"))
             items = nodes.filter((F.col("canon") == full) & F.col("label").isNull() & F.col("scalar").isNotNull()).select(F.col(key).alias("_ki"), F.col("parent").alias("_pi"), F.struct("ordinal", "scalar").alias("_item"))
             lists = arrays.join(items, (F.col("_ka") == F.col("_ki")) & (F.col("_a") == F.col("_pi"))).groupBy("_ka", "_pa").agg(F.transform(F.array_sort(F.collect_list("_item")), lambda s: s["scalar"]).alias(f"_list_{f}"))
             out = out.join(lists, (F.col("_k") == F.col("_ka")) & (F.col("_n") == F.col("_pa")), "left").drop("_ka", "_pa")
             out = out.withColumn(f, F.coalesce(f"_list_{f}", F.when(F.size(f"_lone_{f}") > 0, F.col(f"_lone_{f}")))).drop(f"_list_{f}", f"_lone_{f}")
-    return out.drop(key, "parent").withColumnRenamed("_k", key).withColumnRenamed("_n", "node")
+    text = F.to_json(F.map_from_entries(F.array_sort(F.coalesce("_all", none))))
+    return out.withColumn("_rescued", text).drop("_all").withColumnRenamed("_k", key).withColumnRenamed("_n", "node")

@@ -92,6 +92,27 @@ def test_removed_and_empty(spark):
     assert [tuple(r) for r in added.collect()] == [(1, "a", "added", "")]
 
 
+def test_two_names_of_one_field(spark):
+    """The agreed name comes first, then the one that can be read; the other value is rescued, or in the child table."""
+    kinds = KINDS | {"entries.data.people.occupation": "string"}
+    person = lambda **x: {"entries": [{"id": "1", "data": {"people": [{"id": "P1", **x}], "events": [], "note": 5}}]}
+    rows = [(1, person(ethnicity="Angola", ethnicitiy="Congo")), (2, person(ethnicity=None, ethnicitiy="Congo")), (3, person(free="perhaps", freed=True)), (4, person(ethnicitiy="Congo", nation="Mina")), (5, person(occupation=["a", "b"], ocupation="c")), (6, person(titles=["Don", {"x": 1}]))]
+    nodes = shred(files(spark, rows), "file_id", "body", kinds, approved_paths())
+    got = {r.file_id: r for r in conform(nodes, "file_id", "entries.data.people", kinds).collect()}
+    kept = lambda k: {p.rpartition(".")[2]: json.loads(v) for p, v in json.loads(got[k]._rescued).items()}
+    assert (got[1].ethnicity, kept(1)) == ("Angola", {"ethnicitiy": "Congo"})
+    assert (got[2].ethnicity, kept(2)) == ("Congo", {})
+    assert (got[3].free, kept(3)) == (True, {"free": "perhaps"})
+    assert (got[4].ethnicity, kept(4)) == ("Congo", {"nation": "Mina"})
+    assert (got[5].occupation, kept(5)) == ("c", {"occupation": ["a", "b"]})
+    assert (got[6].titles, kept(6)) == (["Don"], {"titles": ["Don", {"x": 1}]})
+    people = {r.file_id: r for r in entity(nodes, "file_id", "entries.data.people", ["id", "ethnicity", "free"]).collect()}
+    assert [people[k].ethnicity for k in (1, 2, 4)] == ["Angola", "Congo", "Congo"] and people[3].free == "true"
+    below = {(r.file_id, r.field, r.value) for r in inner_values(nodes, "file_id", {"entries.data.people": "person"}, [("entries.data.people", ["id", "ethnicity", "free", "occupation"])]).collect()}
+    assert {(1, "ethnicitiy", "Congo"), (3, "free", "perhaps"), (4, "nation", "Mina"), (5, "occupation", "a"), (5, "occupation", "b")} <= below
+    assert {json.loads(r._rescued)["entries.data.note"] for r in conform(nodes, "file_id", "entries", kinds).collect()} == {"5"}
+
+
 def test_names():
     assert edits("phenotpye", "phenotype") == 1 and squash("Is_Free") == "isfree"
     assert same_name("Ethnicity", "ethnicity") and same_name("ocupation", "occupation") and not same_name("notes", "name")
