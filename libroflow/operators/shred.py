@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from libroflow.session import cut
 
@@ -195,13 +196,15 @@ def members(df: DataFrame, key: str, body: str) -> DataFrame:
 def entity(nodes: DataFrame, key: str, path: str, fields: list[str]) -> DataFrame:
     """The objects at agreed path `path`, joined with their scalar children and pivoted to one row per object.
 
-    Columns: key, node, parent, pos_path, then one string column per field (null where absent).
+    Columns: key, node, parent, pos_path, then one string column per field (null where absent). Objects and children
+    meet in one grouping by the object's node, combined before the shuffle.
     """
-    objects = nodes.filter((F.col("canon") == path) & (F.col("kind") == "object")).select(key, "node", "parent", "pos_path")
     full = {f: f"{path}.{f}" if path else f for f in fields}
-    scalars = nodes.filter(F.col("canon").isin(list(full.values())) & F.col("scalar").isNotNull())
-    pivot = scalars.groupBy(F.col(key).alias("_k"), F.col("parent").alias("_p")).agg(*[F.max(F.when(F.col("canon") == p, F.col("scalar"))).alias(f) for f, p in full.items()])
-    return objects.join(pivot, (F.col(key) == F.col("_k")) & (F.col("node") == F.col("_p")), "left").drop("_k", "_p")
+    own = (F.col("canon") == path) & (F.col("kind") == "object")
+    child = F.col("canon").isin(list(full.values())) & F.col("scalar").isNotNull()
+    head = F.max(F.when(own, F.struct("node", "parent", "pos_path"))).alias("_head")
+    pivot = nodes.filter(own | child).groupBy(F.col(key), F.when(own, F.col("node")).otherwise(F.col("parent")).alias("_o")).agg(head, *[F.max(F.when(~own & (F.col("canon") == p), F.col("scalar"))).alias(f) for f, p in full.items()])
+    return pivot.filter("_head is not null").select(key, "_head.node", "_head.parent", "_head.pos_path", *fields)
 
 
 def inner_values(nodes: DataFrame, key: str, parents: dict[str, str], flat: list[tuple[str, list[str]]]) -> DataFrame:
@@ -246,17 +249,19 @@ def entry_links(nodes: DataFrame, key: str) -> DataFrame:
     A reference to nobody has child_pos 0; a reference that is null or blank is no link. Where two people of an
     entry share an id, the first is meant. A reference naming another entry is to nobody of this one.
     """
-    nodes = cut(nodes)  # the bodies are parsed once; the joins below read the flat nodes
-    at = "entries.data.people"
-    people = entity(nodes, key, at, ["id"])
-    entries = entity(nodes, key, "entries", ["id"]).select(F.col(key).alias("k0"), F.col("pos_path")[0].alias("e0"), F.col("id").alias("entry_id"))
-    ids = people.filter(F.col("id").isNotNull()).groupBy(F.col(key).alias("k1"), F.col("pos_path")[0].alias("e1"), local_ref(F.col("id")).alias("id1")).agg(F.min(F.col("pos_path")[1]).alias("child"))
-    rel = entity(nodes, key, f"{at}.relationships", ["related_person", "relationship_type"]).select(key, F.col("pos_path")[0].alias("entry_pos"), F.lit("person").alias("parent_kind"), F.col("pos_path")[1].alias("parent_pos"), F.col("relationship_type").alias("role"), F.col("related_person").alias("ref"))
-    roles = {"entries.data.events.principals": "principal", "entries.data.events.witnesses": "witness"}
-    event = nodes.filter(F.col("canon").isin(list(roles)) & F.col("kind").isin("string", "number")).select(key, F.col("pos_path")[0].alias("entry_pos"), F.lit("event").alias("parent_kind"), F.col("pos_path")[1].alias("parent_pos"), F.when(F.col("canon") == "entries.data.events.principals", "principal").otherwise("witness").alias("role"), F.col("scalar").alias("ref"))
-    refs = rel.unionByName(event).filter(F.trim("ref") != "").withColumn("ref1", local_ref(F.col("ref"))).withColumn("named", F.regexp_extract(F.trim("ref"), r"^(\d+-\d+)-", 1)).distinct()
+    nodes = cut(nodes)  # the bodies are parsed once; what follows reads the flat nodes
+    at = F.col("pos_path")
     pad = lambda c: F.regexp_replace(F.regexp_replace(c, r"^0+(?=\d)", ""), r"-0+(?=\d)", "-")
-    own = refs.join(entries, (F.col(key) == F.col("k0")) & (F.col("entry_pos") == F.col("e0")), "left")
-    here = F.when((F.col("named") == "") | F.col("entry_id").isNull() | (pad(F.col("named")) == pad(F.trim("entry_id"))), F.col("ref1"))
-    joined = own.withColumn("want", here).join(ids, (F.col(key) == F.col("k1")) & (F.col("entry_pos") == F.col("e1")) & (F.col("want") == F.col("id1")), "left")
-    return joined.select(key, F.col("entry_pos").cast("int").alias("entry_pos"), "parent_kind", F.col("parent_pos").cast("int").alias("parent_pos"), "role", F.coalesce("child", F.lit(0)).cast("int").alias("child_pos")).distinct()
+    # an id carries the place of its object; people's ids meet the id of their entry in one window over the entry
+    own = lambda path, depth: nodes.filter((F.col("canon") == path) & F.col("scalar").isNotNull() & (F.size("pos_path") == depth))
+    people = own(f"{_AT}.id", 2).select(key, at[0].alias("entry_pos"), at[1].alias("child"), F.col("scalar").alias("person"), F.lit(None).cast("string").alias("entry"))
+    entries = own("entries.id", 1).select(key, at[0].alias("entry_pos"), F.lit(None).cast("int").alias("child"), F.lit(None).cast("string").alias("person"), F.col("scalar").alias("entry"))
+    placed = people.unionByName(entries).withColumn("entry", F.max("entry").over(Window.partitionBy(key, "entry_pos"))).filter("person is not null")
+    ids = placed.groupBy(F.col(key).alias("k1"), F.col("entry_pos").alias("e1"), local_ref(F.col("person")).alias("id1")).agg(F.min("child").alias("child"), pad(F.trim(F.max("entry"))).alias("entry_id"))
+    rel = entity(nodes, key, _REL, ["related_person", "relationship_type"]).select(key, at[0].alias("entry_pos"), F.lit("person").alias("parent_kind"), at[1].alias("parent_pos"), F.col("relationship_type").alias("role"), F.col("related_person").alias("ref"))
+    principal, _ = _ROLES
+    event = nodes.filter(F.col("canon").isin(list(_ROLES)) & F.col("kind").isin("string", "number")).select(key, at[0].alias("entry_pos"), F.lit("event").alias("parent_kind"), at[1].alias("parent_pos"), F.when(F.col("canon") == principal, _ROLES[principal]).otherwise("witness").alias("role"), F.col("scalar").alias("ref"))
+    refs = rel.unionByName(event).filter(F.trim("ref") != "").select(key, "entry_pos", "parent_kind", "parent_pos", "role", local_ref(F.col("ref")).alias("want"), pad(F.regexp_extract(F.trim("ref"), r"^(\d+-\d+)-", 1)).alias("named"))
+    joined = refs.join(ids, (F.col(key) == F.col("k1")) & (F.col("entry_pos") == F.col("e1")) & (F.col("want") == F.col("id1")), "left")
+    here = (F.col("named") == "") | F.col("entry_id").isNull() | (F.col("named") == F.col("entry_id"))
+    return joined.select(key, F.col("entry_pos").cast("int").alias("entry_pos"), "parent_kind", F.col("parent_pos").cast("int").alias("parent_pos"), "role", F.coalesce(F.when(here, F.col("child")), F.lit(0)).cast("int").alias("child_pos")).distinct()
