@@ -16,37 +16,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from libroflow.session import cut, hot_lookup, static_plans
+from libroflow.session import apart, cut, hot_keys, hot_lookup, moved, sized
 
+SMALL_ROWS, SMALL_BYTES = 100_000, 8 << 20  # a table of labels no larger is sent to the tasks instead of shuffled
 
-def _jump(parent: DataFrame, rows: int) -> DataFrame:
-    """Two rounds of pointer jumping: every node takes its label's label, twice; parent: (id, p)."""
-    for k in range(2):
-        up = parent.select(F.col("id").alias(f"q{k}"), F.col("p").alias(f"pp{k}"))
-        parent = hot_lookup(parent, "p", up, f"q{k}", rows).select("id", F.coalesce(f"pp{k}", "p").alias("p"))
+
+def _follow(left: DataFrame, key: str, labels: DataFrame, rows: int, few: bool, hot: DataFrame | None = None) -> DataFrame:
+    """`left` with the label of `key` in a column `_p`; labels: (id, p). few: the labels' size is checked and small."""
+    side = labels.select(F.col("id").alias("_id"), F.col("p").alias("_p"))
+    out = left.join(F.broadcast(side), F.col(key) == F.col("_id"), "left") if few else hot_lookup(left, key, side, "_id", rows, hot=hot)
+    return out.drop("_id")
+
+
+def _jump(parent: DataFrame, rows: int, few: bool) -> DataFrame:
+    """Two rounds of pointer jumping: every node takes its label's label, twice; parent: (id, p), checkpointed."""
+    for _ in range(2):
+        parent = _follow(parent, "p", parent, rows, few).select("id", F.coalesce("_p", "p").alias("p"))
     return parent
 
 
-def components(star: DataFrame) -> DataFrame:
+def components(star: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
     """(id, group) from pairs (u, v), where every id occurs as some u (paired with itself if with nobody)."""
-    with static_plans(star.sparkSession):
-        star = cut(star.select("u", "v").distinct())
-        nodes = star.select(F.col("u").alias("node")).distinct()
-        edges = star.filter("u != v")
-        edges = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        levels = []
-        while (n := edges.count()) > 0:
-            lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-            roots = cut(_jump(cut(lowest.select(F.col("u").alias("id"), F.least("u", "m").alias("p"))), n))
-            levels.append(roots)
-            a = hot_lookup(edges, "u", roots.select(F.col("id").alias("iu"), F.col("p").alias("pu")), "iu", n).select("v", "pu")
-            b = hot_lookup(a, "v", roots.select(F.col("id").alias("iv"), F.col("p").alias("pv")), "iv", n)
-            edges = cut(b.filter("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
-        labels = nodes.select("node", F.col("node").alias("label"))
-        total = nodes.count() if levels else 0
-        for roots in levels:
-            labels = cut(hot_lookup(labels, "label", roots, "id", total).select("node", F.coalesce("p", "label").alias("label")))
-    return labels.select(F.col("node").alias("id"), F.col("label").alias("group"))
+    spark = star.sparkSession
+    own = apart(spark)
+    pairs = star.select("u", "v")
+    edges = moved(cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()), own)
+    levels: list[tuple[DataFrame, int, bool]] = []
+    sized(own, edges.count())
+    while True:
+        # each node's smallest neighbour, combined before the shuffle, and how many pairs it is in
+        lowest = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        nodes, rows, most, size = lowest.agg(F.count(F.lit(1)), F.sum("n"), F.max("n"), F.sum(F.octet_length(F.col("u").cast("string")))).first()
+        if not nodes:
+            break
+        sized(own, rows)
+        few = nodes <= small_rows and size <= SMALL_BYTES // 2
+        roots = cut(_jump(lowest.select(F.col("u").alias("id"), F.least("u", "m").alias("p")), nodes, few))
+        levels.append((roots, nodes, few))
+        hot = hot_keys(lowest, "u", "n", rows)  # both ends of the pairs have the same counts
+        a = _follow(edges, "u", roots, rows, few, hot).select("v", F.col("_p").alias("pu"))
+        b = _follow(a, "v", roots, rows, few, hot).select("pu", F.col("_p").alias("pv"))
+        edges = cut(b.filter("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+    # the labels of later rounds are followed from the last, the smallest, up to the first, which has every node
+    done, few = None, False
+    for roots, nodes, small in reversed(levels):
+        sized(own, nodes)
+        done, few = (cut(_follow(roots, "p", done, nodes, few).select("id", F.coalesce("_p", "p").alias("p"))) if done is not None else roots), small
+    out = moved(done if done is not None else edges.select(F.col("u").alias("id"), F.col("v").alias("p")), spark)
+    return out.select("id", F.col("p").alias("group"))
 
 
 def group_ids(decisions: DataFrame, left: str, right: str, flag: str) -> DataFrame:
