@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from libroflow.llm.canonical import map_terms
-from libroflow.llm.consensus import record_values, survivors
+from libroflow.llm.consensus import ranked, record_values, survivors
 from libroflow.llm.groups import group_ids
 from libroflow.llm.language import identify
 from libroflow.llm.leakage import leaks
@@ -24,9 +24,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_people(table(spark, sf_dir, "person_mentions"))
 
 
+def _values(spark: SparkSession, sf_dir: str, weighted: bool = False) -> DataFrame:
+    return record_values(table(spark, sf_dir, "person_records"), table(spark, sf_dir, "source_trust"), weighted)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = survivors(record_values(table(spark, sf_dir, "person_records"), table(spark, sf_dir, "source_trust")))
-    return best.select(F.col("grp").alias("group_id"), "field", F.col("record").alias("record_key"))
+    """By rank: the stated rules let one record outweigh all below it, which no vote can change."""
+    return ranked(_values(spark, sf_dir)).select(F.col("grp").alias("group_id"), "field", F.col("record").alias("record_key"))
+
+
+def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By vote: the record closest to the weighted consensus of its group, and its distance in tokens."""
+    return survivors(_values(spark, sf_dir, True)).select(F.col("grp").alias("group_id"), "field", F.col("record").alias("record_key"), "distance")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +70,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_text": p7_text, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p5_found": p5_found, "p7_found": p7_found, "p7_text": p7_text, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
 
 ORACLES = {
     "p5_found": """
