@@ -1,10 +1,14 @@
 """Repair of text from scanned pages.
 
 Running heads (matched with the volume's title, institution and place) and page numbers are set aside. The remaining
-lines are one stream of tokens, over which a joint segmentation is decoded: a token is read as it is, through the
-scanner's confusions, or together with its neighbour as one word (cheap over a hyphen, dear over a plain space), by
-the costs of a word model counted over the whole corpus. Paragraph boundaries are chosen by dynamic programming over
-the lines' lengths, endings and gaps.
+lines are one character stream, over which word segmentation is decoded jointly by dynamic programming: a word may
+run over any number of breaks in the stream (hyphens at line ends are cheap, plain line ends cost a little, spaces
+more), a token may be split where no break stands, and letters may be read through the scanner's confusions, each at
+a cost beside that of the word in a model counted over the whole corpus. Paragraph boundaries are chosen by dynamic
+programming over the lines' lengths, endings and gaps.
+
+The stream is decoded in islands: a space between two known words is final unless a token that is no word stands
+there, so what lies between such spaces is decoded by itself, and islands that recur are decoded once.
 
 The word model counts the tokens inside lines only, where words are whole, and keeps those above a share of all tokens.
 
@@ -18,23 +22,32 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from libroflow.llm.canonical import osa
-from libroflow.session import small
+from libroflow.session import bounded, cut, small
 
 SHARE = 2e-6  # a word is known from this share of all tokens on: 500,000 words at most
 LONGEST = 40  # a token of more letters is no word
+SPLIT = 3.0  # cost of a word boundary where no break stands
+JOIN = {"hyphen": -5.0, "line": 2.0, "space": 6.0}  # cost of a break inside a word
+ALONE = 40.0  # cost of a word that ends at a hyphen
+SHORTEST = 3  # known words of so many letters may be pieces of their neighbours
 RATIO = 10  # a reading through a confusion must be so much more frequent than the token as it stands
 
 # What the scanner makes of a letter.
 CONFUSIONS = [("€", "e"), ("†", "t"), ("@", "a"), ("ſ", "s"), ("·", ""), ("!", "i"), ("!", "l"), ("(", "c"), ("0", "o"), ("5", "s"), ("1", "l"), ("1", "i"), ("|", "l"), ("\\/", "v"), ("9", "g"), ("6", "b"), ("8", "b"), ("ii", "n"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("li", "h"), ("vv", "w"), ("iii", "m")]
 SIGNS = set("€†@ſ·|\\")
+_BAD: dict[str, list[tuple[str, str]]] = {}
+for _b, _g in CONFUSIONS:
+    _BAD.setdefault(_b[0], []).append((_b, _g))
 HYPHENS = "-=¬–"
 # Words that a number follows in running text.
 NUMBERED = {"cuaderno", "caderno", "número", "numero", "folha", "folio", "libro", "livro", "n", "núm", "num"}
@@ -43,10 +56,20 @@ _PAGE = re.compile(r"^\W*(?:(?:f|ff|fo|fol|folio|folios|p|pp|pg|pág|pag|página
 _EDGE = " .,;:()[]{}\"'«»—?"
 
 
+class _Bare(dict):
+    """Each character as its lower-case letters and digits without accents; filled as characters come."""
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if c.isalnum())
+        return out
+
+
+_BARE = _Bare()
+
+
 def bare(text: str) -> str:
     """Letters and digits only, lower case, no accents."""
-    t = unicodedata.normalize("NFKD", text).lower()
-    return "".join(c for c in t if c.isalnum())
+    return text.translate(_BARE)
 
 
 def heads(title: str | None, institution: str | None, city: str | None) -> list[str]:
@@ -57,14 +80,22 @@ def heads(title: str | None, institution: str | None, city: str | None) -> list[
     return [b for x in out if len(b := bare(x)) >= 8]
 
 
+@lru_cache(10_000)
+def _parts(head: str, most: int) -> list[str]:
+    """A head in so many parts that `most` edits leave one of them whole; exchanged neighbours may touch two."""
+    n = 2 * most + 1
+    return [p for i in range(n) if (p := head[len(head) * i // n : len(head) * (i + 1) // n])]
+
+
 def is_head(line: str, wanted: list[str]) -> bool:
     b = bare(line)
     if len(b) < 7:
         return False
-    for form in {b, re.sub(r"\d{1,4}$", "", b)}:
+    short = re.sub(r"\d{1,4}$", "", b)
+    for form in (b, short) if short != b else (b,):
         for h in wanted:
             most = 1 if len(h) < 14 else 2
-            if abs(len(form) - len(h)) <= most and osa(form, h, most) <= most:
+            if abs(len(form) - len(h)) <= most and any(p in form for p in _parts(h, most)) and osa(form, h, most) <= most:
                 return True
     return False
 
@@ -105,10 +136,10 @@ def _count_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(texts: DataFrame, text: str, share: float = SHARE) -> dict[str, int]:
     """Words of the corpus above `share` of all tokens (and at least 3 times): at most 1/share of them."""
-    counts = texts.select(text).filter(F.col(text).isNotNull()).mapInArrow(_count_rows, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(texts.select(text).filter(F.col(text).isNotNull()).mapInArrow(_count_rows, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = small(counts.filter(F.col("n") >= max(3, total * share)), int(1 / share) + 1, 256 << 20)
-    return {w: n for w, n in rows or []}
+    rows = bounded(counts.filter(F.col("n") >= max(3, total * share)), "words", int(1 / share) + 1, 256 << 20)
+    return {w: n for w, n in rows}
 
 
 class Speller:
@@ -117,35 +148,46 @@ class Speller:
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
         self.total = sum(counts.values()) or 1
-        self.cache: dict[str, tuple[float, str, tuple[int, ...]]] = {}
-
-    def variants(self, w: str) -> dict[str, tuple[int, ...]]:
-        """Readings of w with one to three confusions undone: reading -> places in w."""
+        self.words = sorted({w.lower() for w in counts})
+        self.cache: dict[str, tuple[float, str, tuple[int, ...], bool]] = {}
+        self.islands: dict[tuple, list] = {}
+        self.tokens: dict[str, tuple[bool, str, bool]] = {}
+
+    def begins(self, prefix: str) -> bool:
+        """Whether a known word begins so."""
+        at = bisect_left(self.words, prefix)
+        return at < len(self.words) and self.words[at].startswith(prefix)
+
+    def count(self, word: str) -> int:
+        return max(self.counts.get(word, 0), self.counts.get(word[:1].upper() + word[1:], 0))
+
+    def readings(self, w: str) -> dict[str, tuple[int, ...]]:
+        """Known words that w is through any number of confusions: word -> places in w of the misread letters, the
+        fewest. A walk over w that goes on while known words begin with what was read."""
         out: dict[str, tuple[int, ...]] = {}
-        layer = {w: ((), 0)}
-        for _ in range(3):
-            nxt: dict[str, tuple] = {}
-            for x, (places, shift) in layer.items():
-                for bad, good in CONFUSIONS:
-                    at = x.find(bad)
-                    while at >= 0:
-                        y = x[:at] + good + x[at + len(bad) :]
-                        if y not in out and y != w:
-                            out[y] = (*places, at + shift)
-                            nxt[y] = (out[y], shift + len(bad) - len(good))
-                        at = x.find(bad, at + 1)
-            layer = nxt
-            if not layer or len(out) > 200:
-                break
+        stack: list[tuple[int, str, tuple[int, ...]]] = [(0, "", ())]
+        while stack:
+            at, built, places = stack.pop()
+            if at == len(w):
+                if places and built != w and self.count(built) and (built not in out or len(places) < len(out[built])):
+                    out[built] = places
+                continue
+            for bad, good in _BAD.get(w[at], ()):
+                if w.startswith(bad, at) and self.begins(built + good):
+                    stack.append((at + len(bad), built + good, (*places, at)))
+            if self.begins(built + w[at]):
+                stack.append((at + 1, built + w[at], places))
         return out
 
-    def read(self, token: str) -> tuple[float, str, tuple[int, ...]]:
-        """(cost, reading, places of misread letters) of a token without outer marks."""
+    def read(self, token: str) -> tuple[float, str, tuple[int, ...], bool]:
+        """(cost, reading, places of misread letters, whether the reading is a known word) of a token without outer marks."""
         hit = self.cache.get(token)
         if hit is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            hit = self.cache[token] = self._read(token)
+            cost, reading, places = self._read(token)
+            known = reading in self.counts or reading.lower() in self.counts or (reading[:1] + reading[1:].lower()) in self.counts
+            hit = self.cache[token] = (cost, reading, places, known)
         return hit
 
     def _read(self, token: str) -> tuple[float, str, tuple[int, ...]]:
@@ -160,10 +202,10 @@ class Speller:
         signed = any(c in SIGNS for c in token)
         if lower or signed or any(c in "0!(1569" for c in token[1:]):
             if not re.fullmatch(r"\d+(?:bre|o|a|os|as|ro|to|no)\W*", key):
-                for y, places in self.variants(key.lower()).items():
-                    n = max(self.counts.get(y, 0), self.counts.get(y[:1].upper() + y[1:], 0))
+                for y, places in self.readings(key.lower()).items():
+                    n = self.count(y)
                     if n >= 3 and n >= RATIO * max(mine, 1 if signed else 0) and (n >= 20 or not mine):
-                        rank = (len(places), -n)
+                        rank = (len(places), -n, y)
                         if best is None or rank < best[0]:
                             best = (rank, y, places)
         if best:
@@ -176,19 +218,116 @@ class Speller:
             return 11.0, token, ()
         return (13.0 + 0.6 * len(token) if lower else 11.0 + 0.4 * len(token)), token, ()
 
+    def token(self, token: str) -> tuple[bool, str, bool]:
+        """(whether it is a word as it stands, its reading by itself with its outer marks, whether that undoes misreadings)."""
+        hit = self.tokens.get(token)
+        if hit is None:
+            if len(self.tokens) > 300_000:
+                self.tokens.clear()
+            c = core(token)
+            plain = c in self.counts or c.lower() in self.counts
+            _, reading, places, _ = self.read(c)
+            hit = self.tokens[token] = (plain, Page._dress(token, reading) if places else token, bool(places))
+        return hit
+
+    def piece(self, text: str) -> tuple[float, str, tuple[int, ...]] | None:
+        """The reading of a part of a token, None if it is no known word. Letters are read through confusions only where
+        a sign or digit stands."""
+        n = max(self.counts.get(text, 0), self.counts.get(text.lower(), 0))
+        if n:
+            return math.log(self.total / n), text, ()
+        if any(c in SIGNS or c in "0!(1569" for c in text):
+            cost, reading, places, known = self.read(text)
+            if known and places:
+                return cost, reading, places
+        return None
+
+
+def _mergeable(tok: str, nxt: str, joint: str) -> bool:
+    """Whether a word may run over the break between two tokens."""
+    if joint == "hyphen":
+        return True
+    if joint == "space" and not (tok[-1].isalpha() and (len(tok) > 1 or tok.islower())):
+        return False
+    return not (tok[-1] in ".,;:)" or nxt[:1].isupper() and not tok.isupper() or not nxt[:1].isalnum() and nxt[:1] not in SIGNS and nxt[:1] not in "!(")
+
+
+def decode(tokens: tuple[str, ...], joints: tuple[str, ...], tail: str, speller: Speller) -> list[tuple[str, int, int, list[int], list[int]]]:
+    """Words of an island, (text, first token, last token, tokens with misread letters, tokens broken at a line end), by
+    dynamic programming over its characters. joints: the breaks between its tokens, all of which a word may run over;
+    tail: what follows the last one.
+    """
+    n = len(tokens)
+    cores = [core(t) for t in tokens]
+    lead = [t.find(c) if c else 0 for t, c in zip(tokens, cores)]
+    # tokens that stand for no word can be split between any two letters
+    inner = [range(1, len(c)) if 3 <= len(c) <= LONGEST and all(x.isalnum() or x in SIGNS for x in c) and not c.isdigit() and not speller.read(c)[3] else () for c in cores]
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+
+    def offer(to: tuple[int, int], cost: float, arc: tuple) -> None:
+        if to not in best or cost < best[to][0]:
+            best[to] = (cost, arc)
+
+    for k in range(n):
+        for off in (0, *inner[k]):
+            if (k, off) not in best:
+                continue
+            here = best[k, off][0]
+            text, joined, j = (tokens[k].lstrip(_EDGE.replace("(", "")) if tokens[k][:1] != "(" else tokens[k][1:]) if off == 0 else tokens[k][lead[k] + off :], 0.0, k
+            while True:
+                follows = joints[j] if j < n - 1 else tail
+                # to the end of token j
+                if j == k and off == 0:
+                    found = speller.read(cores[k])[:3]
+                elif off == 0:
+                    cost, reading, places, known = speller.read(text.rstrip(_EDGE))
+                    found = (cost, reading, places) if known or all(x == "hyphen" for x in joints[k:j]) else None
+                else:
+                    found = speller.piece(text.rstrip(_EDGE))
+                if found:
+                    offer((j + 1, 0), here + found[0] + joined + (ALONE if follows == "hyphen" else 0.0), ((k, off), found[1], found[2]))
+                # into token j
+                before = text[: len(text) - len(tokens[j])] if j > k else ""
+                for end in inner[j]:
+                    if (j > k or end > off) and (found := speller.piece(before + (cores[j][:end] if j > k else cores[j][off:end]))):
+                        offer((j, end), here + found[0] + joined + SPLIT, ((k, off), found[1], found[2]))
+                if j == n - 1 or len(text) > LONGEST:
+                    break
+                joined += JOIN[joints[j]]
+                j += 1
+                text += tokens[j]
+    out = []
+    at = (n, 0)
+    while at != (0, 0):
+        (k, off), reading, places = best[at][1]
+        j, end = (at[0] - 1, None) if at[1] == 0 else at
+        begin = lead[k] + off if off else 0
+        pieces = [tokens[x][(begin if x == k else 0) : (lead[j] + end if x == j and end is not None else None)] for x in range(k, j + 1)]
+        where, passed = [], 0 if off else -(lead[k] if tokens[k][:1] != "(" else 1)
+        for x, p in zip(range(k, j + 1), pieces):
+            passed += len(p)
+            where += [x] * (passed - len(where))
+        text = "".join(pieces)
+        bad = sorted({where[min(p, len(where) - 1)] for p in places})
+        broken = [x for x in range(k, j) if joints[x] != "space"]
+        out.append((Page._dress(text, reading) if places else text, k, j, bad, broken))
+        at = (k, off)
+    return out[::-1]
+
 
 class Page:
-    """The lines of an entry, their kinds, and the decoded tokens."""
+    """The lines of an entry, their kinds, and the decoded words."""
 
     def __init__(self, raw: str, wanted: list[str], speller: Speller):
         self.lines = raw.split("\n")
         self.found: set[tuple[int, str]] = set()
         self.text: list[int] = []
+        most = max(map(len, wanted), default=0) + 10  # letters of a head with a page number; spaced out, four times as long
         before = ""
         for i, line in enumerate(self.lines):
             if not line.strip():
                 continue
-            if is_head(line, wanted):
+            if len(line) <= 4 * most and is_head(line, wanted):
                 self.found.add((i + 1, "header"))
             elif is_page(line, before):
                 self.found.add((i + 1, "page_no"))
@@ -199,61 +338,55 @@ class Page:
         self._decode(speller)
 
     def _decode(self, speller: Speller) -> None:
-        tokens: list[tuple[str, int, str]] = []  # token, line, what follows it
+        tokens: list[str] = []
+        lines: list[int] = []
+        joints: list[str] = []  # what follows each token
         for k, i in enumerate(self.text):
             parts = self.lines[i].split()
-            last = k == len(self.text) - 1
             joint = "line"
-            if parts and parts[-1][-1] in HYPHENS and not last:
+            if parts and parts[-1][-1] in HYPHENS and k < len(self.text) - 1:
                 parts[-1] = parts[-1].rstrip(HYPHENS)
                 parts = parts if parts[-1] else parts[:-1]
                 joint = "hyphen"
-            for n, p in enumerate(parts):
-                tokens.append((p, i, joint if n == len(parts) - 1 else "space"))
+            if parts:
+                tokens += parts
+                lines += [i] * len(parts)
+                joints += ["space"] * (len(parts) - 1) + [joint]
         n = len(tokens)
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
-        merged: dict[int, tuple[str, str, tuple[int, ...]]] = {}
-        for i, (tok, _, follows) in enumerate(tokens):
-            here = best[i][0]
-            cost = here + speller.read(core(tok))[0] + (40.0 if follows == "hyphen" and i + 1 < n else 0.0)
-            if cost < best[i + 1][0]:
-                best[i + 1] = (cost, 1)
-            if i + 1 < n and follows != "space" or i + 1 < n and follows == "space" and len(tok) > 1 and tok[-1].isalpha():
-                nxt = tokens[i + 1][0]
-                if follows != "hyphen" and (tok[-1] in ".,;:)" or nxt[:1].isupper() and not tok.isupper() or not nxt[:1].isalnum() and nxt[:1] not in SIGNS and nxt[:1] not in "!("):
-                    continue
-                if follows == "space" and (core(tok).lower() in speller.counts or core(nxt).lower() in speller.counts):
-                    continue
-                head, tail = tok.lstrip(_EDGE.replace("(", "")) if tok[:1] != "(" else tok[1:], nxt.rstrip(_EDGE)
-                c, reading, places = speller.read(core(head + tail))
-                known = reading in speller.counts or reading.lower() in speller.counts or (reading[:1] + reading[1:].lower()) in speller.counts
-                if follows != "hyphen" and not known:
+        if not n:
+            return
+        joints[-1] = "line"
+        alone = [speller.token(t) for t in tokens]
+        plain = [x[0] for x in alone]
+        start = 0
+        for k in range(n):
+            if k < n - 1:
+                joint = joints[k]
+                if joint == "space":
+                    near = not plain[k] or not plain[k + 1] or len(tokens[k]) <= SHORTEST and k > start and not plain[k - 1] or len(tokens[k + 1]) <= SHORTEST and k + 2 < n and joints[k + 1] == "space" and not plain[k + 2]
+                    if near and _mergeable(tokens[k], tokens[k + 1], joint):
+                        continue
+                elif _mergeable(tokens[k], tokens[k + 1], joint):
                     continue
-                cost = here + c + {"hyphen": -5.0, "line": 2.0, "space": 6.0}[follows]
-                if cost < best[min(i + 2, n)][0]:
-                    best[i + 2] = (cost, 2)
-                    merged[i + 2] = (head + tail, reading, places)
-        at, steps = n, []
-        while at > 0:
-            k = best[at][1] or 1
-            steps.append((at - k, k))
-            at -= k
-        for start, k in reversed(steps):
-            tok, line, follows = tokens[start]
-            if k == 1:
-                c, reading, places = speller.read(core(tok))
-                if places:
-                    self.found.add((line + 1, "misread"))
-                self.words.append((self._dress(tok, reading) if places else tok, line, line))
+            if k == start and plain[k] and joints[k] != "hyphen":
+                if alone[k][2]:
+                    self.found.add((lines[k] + 1, "misread"))
+                self.words.append((alone[k][1], lines[k], lines[k]))
             else:
-                nxt, line2, _ = tokens[start + 1]
-                text, reading, places = merged[start + 2]
-                split = len(tok.lstrip(_EDGE))
-                for p in places:
-                    self.found.add(((line if p < split else line2) + 1, "misread"))
-                if follows != "space":
-                    self.found.add((line + 1, "break"))
-                self.words.append((self._dress(tok + nxt, reading) if places else tok + nxt, line, line2))
+                self._island(tuple(tokens[start : k + 1]), tuple(joints[start:k]), joints[k] if k < n - 1 else "", lines[start : k + 1], speller)
+            start = k + 1
+
+    def _island(self, tokens: tuple[str, ...], joints: tuple[str, ...], tail: str, lines: list[int], speller: Speller) -> None:
+        key = (tokens, joints, tail)
+        words = speller.islands.get(key)
+        if words is None:
+            if len(speller.islands) > 200_000:
+                speller.islands.clear()
+            words = speller.islands[key] = decode(tokens, joints, tail, speller)
+        for text, k, j, bad, broken in words:
+            self.found.update((lines[x] + 1, "misread") for x in bad)
+            self.found.update((lines[x] + 1, "break") for x in broken)
+            self.words.append((text, lines[k], lines[j]))
 
     @staticmethod
     def _dress(token: str, reading: str) -> str:

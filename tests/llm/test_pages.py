@@ -24,6 +24,27 @@ def test_kinds():
     assert " ".join(p.paragraphs()) == "en la iglesia parroquial de Macadilla, bauticé los santos vecinos de verdad, y anotado en el cuaderno 36."
 
 
+def test_splits_and_merges():
+    """Words run together and words in many pieces, over spaces, line ends and hyphens, with misread letters in them."""
+    text = lambda raw: " ".join(page(raw).paragraphs())
+    assert text("en dela iglesia ylos santos") == "en de la iglesia y los santos"
+    assert text("en la igle si a y los santos") == "en la iglesia y los santos"
+    assert text("los ve ci nos de verdad") == "los vecinos de verdad"
+    assert text("en la igle\nsi a y los") == "en la iglesia y los" and page("en la igle\nsi a y los").found == {(1, "break")}
+    assert text("en la so-\nlem-\nnemente") == "en la solemnemente" and page("en la so-\nlem-\nnemente").found == {(1, "break"), (2, "break")}
+    assert text("en la igle\nsiay los santos") == "en la iglesia y los santos"
+    p = page("en de|a igle\ns!a ylos")
+    assert " ".join(p.paragraphs()) == "en de la iglesia y los" and p.found == {(1, "misread"), (1, "break"), (2, "misread")}
+    assert text("en Pedrode Macadilla") == "en Pedro de Macadilla"
+    assert text("un zapatero") == "un zapatero"
+
+
+def test_many_confusions():
+    """No number of confusions in a word is too many."""
+    s = Speller(COUNTS | {"sollicitassent": 40})
+    assert s.read("5o||!(!†@55€n†")[1:3] == ("sollicitassent", (0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13))
+
+
 def test_misread_over_a_break():
     assert (1, "break") in page("de la igle=\nsia parroquial").found
     assert not page("de la iglesia -").found
