@@ -95,7 +95,7 @@ def is_head(line: str, wanted: list[str]) -> bool:
     for form in (b, short) if short != b else (b,):
         for h in wanted:
             most = 1 if len(h) < 14 else 2
-            if abs(len(form) - len(h)) <= most and any(p in form for p in _parts(h, most)) and osa(form, h, most) <= most:
+            if form == h or abs(len(form) - len(h)) <= most and any(p in form for p in _parts(h, most)) and osa(form, h, most) <= most:
                 return True
     return False
 
