@@ -16,13 +16,15 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from libroflow.session import small
+from libroflow.session import bounded
 
-# Other names of terms, without accents and in lower case, dots and marks left out.
+# Other names of terms (other languages, genders, short forms), without accents and in lower case, dots and
+# marks left out. Misspellings are left to the similarity.
 ALIASES = {
     "titles": {
         "Don": "d, dn, dom, senor don",
@@ -30,25 +32,25 @@ ALIASES = {
         "Fray": "fr, frai, frey, frei",
         "Licenciado": "lic, ldo, licdo, lcdo",
         "Bachiller": "br, bachr, bchr, bach",
-        "Presbítero": "pbro, presb, presbo, presbytero, pro",
+        "Presbítero": "pbro, presb, presbo, pro",
         "Maestro": "mro, mtro, maesse, maese, mestre",
         "Señora": "sra, sora, senhora",
         "Monseñor": "mons, monsr, monsenhor",
         "Hermano": "hno, hermo, irmao",
         "Reverendo": "rev, rdo, revdo",
-        "Marqués": "marqs, mqs, marquez",
+        "Marqués": "marqs, mqs",
     },
     "ethnicity": {
-        "Angola": "angolo, angolla",
-        "Benguela": "banguela",
-        "Macuá": "macoa, makua",
-        "Popó": "poppo",
-        "Songo": "zongo",
+        "Angola": "angolo",
+        "Benguela": "",
+        "Macuá": "",
+        "Popó": "",
+        "Songo": "",
         "Canario": "canaria, canarias, canro",
         "Gallego": "gallega, galicia, gayego, galego",
         "Genovés": "genovesa, genova, ginoves",
         "Irlandés": "irlandesa, irlanda, irish",
-        "Vizcaíno": "vizcaina, vizcaya, biscaino",
+        "Vizcaíno": "vizcaina, vizcaya",
     },
     "phenotype": {
         "moreno": "morena, morenos, morenas, moro",
@@ -57,32 +59,33 @@ ALIASES = {
         "indio": "india, indios, indias, ynda, yndo",
         "mestizo": "mestiza, mestizos, mestizas",
         "zambo": "zamba, zambos, zambas",
-        "trigueño": "triguena, triguenos, triguenas, trigeno",
+        "trigueño": "triguena, triguenos, triguenas",
         "cuarterón": "cuarterona, cuarterones, cuartn",
-        "negro": "negra, negros, negras, nego, nega, preto, preta",
+        "negro": "negra, negros, negras, preto, preta",
     },
     "occupation": {
         "Carpenter": "carpintero, carpinteiro, carpinto, carpintera",
         "Mason": "albanil, albanileria, pedreiro, cantero",
-        "Midwife": "partera, parteira, comadrona, mid wife",
-        "Tailor": "sastre, alfaiate, sastra, sastrc",
-        "Blacksmith": "herrero, ferreiro, black smith",
+        "Midwife": "partera, parteira, comadrona",
+        "Tailor": "sastre, alfaiate, sastra",
+        "Blacksmith": "herrero, ferreiro",
         "Notary": "notario, escribano, essno, esno, tabeliao, escrivao",
         "Sailor": "marinero, marinheiro, marino, hombre de mar, mariner",
-        "Soldier": "soldado, solddo, souldier",
-        "Cook": "cocinero, cocinera, cozinheira, cozinheiro, cooke",
+        "Soldier": "soldado",
+        "Cook": "cocinero, cocinera, cozinheira, cozinheiro",
         "Laundress": "lavandera, lavadeira, washerwoman",
-        "Shoemaker": "zapatero, sapateiro, shoe maker, zapatera",
+        "Shoemaker": "zapatero, sapateiro, zapatera",
         "Merchant": "comerciante, mercader, mercador, tratante",
         "Farmer": "labrador, labradora, lavrador, agricultor",
-        "Sacristan": "sacristan, sacristao, sacristn",
-        "Baker": "panadero, panadera, padeiro, panadra, backer",
+        "Sacristan": "sacristan, sacristao",
+        "Baker": "panadero, panadera, padeiro",
         "Cleric": "clerigo, cura, sacerdote, padre, padre cura, priest, presbitero",
-        "Musician": "musico, organista, musitian",
+        "Musician": "musico, organista",
         "Cooper": "tonelero, tanoeiro, barrel maker",
     },
 }
 
+MOST_ALIASES = 200_000
 FIELDS = ["titles", "occupation", "phenotype", "ethnicity"]
 
 
@@ -96,7 +99,7 @@ def plain(value: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9]+", " ", t).split())
 
 
-_FOLDS = [("ph", "f"), ("y", "i"), ("h", ""), ("qua", "kua"), ("quo", "kuo"), ("qu", "k"), ("ce", "se"), ("ci", "si"), ("ge", "je"), ("gi", "ji"), ("c", "k"), ("z", "s"), ("v", "b")]
+_FOLDS = [("ph", "f"), ("gue", "je"), ("gui", "ji"), ("y", "i"), ("h", ""), ("qua", "kua"), ("quo", "kuo"), ("qu", "k"), ("ce", "se"), ("ci", "si"), ("ge", "je"), ("gi", "ji"), ("c", "k"), ("z", "s"), ("v", "b")]
 
 
 def folded(text: str) -> str:
@@ -131,6 +134,45 @@ def _room(n: int) -> int:
 FAR = 99
 
 
+def _letters(text: str) -> int:
+    """The set of a text's letters, as bits; an edit changes at most two members."""
+    out = 0
+    for c in text:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+class _Tokens:
+    """The tokens of a list of names, and the names closed up: an index by letters and length for those nearly equal to a
+    given token, so that a value is held against a few names of a long list."""
+
+    def __init__(self, names: dict[str, str]):
+        held: dict[str, set[str]] = {}
+        for name in names:
+            for t in (*name.split(), name.replace(" ", "")):
+                held.setdefault(t, set()).add(name)
+        self.tokens, self.held = list(held), held
+        self.letters = np.array([_letters(t) for t in self.tokens], np.uint64)
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.rooms = np.array([_room(len(t)) for t in self.tokens], np.int64)
+
+    def edits(self, values: set[str]) -> dict[str, int]:
+        """Token -> edits to the nearest of the values that may still be the same word."""
+        out: dict[str, int] = {}
+        for v in values:
+            room = np.minimum(self.rooms, _room(len(v)))
+            close = np.flatnonzero((np.bitwise_count(self.letters ^ np.uint64(_letters(v))) <= 2 * room) & (np.abs(self.sizes - len(v)) <= room))
+            for i in close.tolist():
+                t = self.tokens[i]
+                most = min(int(room[i]), out.get(t, FAR) - 1)
+                if most >= 0 and (d := osa(v, t, most)) <= most:
+                    out[t] = d
+        return out
+
+    def aliases(self, edits: dict[str, int]) -> set[str]:
+        return {a for t in edits for a in self.held[t]}
+
+
 class Lexicon:
     """Automata and token index of one field."""
 
@@ -155,6 +197,7 @@ class Lexicon:
                 auto.add_word(f" {w} ", w)
             if words:
                 auto.make_automaton()
+        self.near = tuple(_Tokens(names) for names in (self.names, self.folds))
         self.cache: dict[str, str] = {}
 
     @staticmethod
@@ -169,31 +212,20 @@ class Lexicon:
                 taken.append((a, b, w))
         return [w for _, _, w in taken]
 
-    @staticmethod
-    def _nearest(values: list[str], part: str) -> int:
-        """Edits to the nearest token that may still be the same word, FAR if there is none."""
-        best = FAR
-        for v in values:
-            most = min(_room(len(part)), _room(len(v)), best - 1)
-            if most >= 0 and (d := osa(v, part, most)) <= most:
-                best = d
-        return best
-
     def similar(self, text: str) -> str:
         """The term of the alias whose every token is nearly in the value, also when spaces were lost or moved."""
         tokens = text.split()
         grams = set(tokens) | {"".join(tokens)} | {a + b for a, b in zip(tokens, tokens[1:])}
         best = None
-        for names, wide in ((self.names, False), (self.folds, True)):
-            values = [folded(x) for x in grams] if wide else list(grams)
-            for alias, term in names.items():
+        for names, index, wide in ((self.names, self.near[0], False), (self.folds, self.near[1], True)):
+            edits = index.edits({folded(x) for x in grams} if wide else grams)
+            for alias in index.aliases(edits):
                 parts, whole = alias.split(), alias.replace(" ", "")
-                costs = [self._nearest(values, part) for part in (parts if len(tokens) >= len(parts) else [whole])]
-                cost = min(sum(costs), self._nearest(values, whole))
+                cost = min(sum(edits.get(part, FAR) for part in (parts if len(tokens) >= len(parts) else [whole])), edits.get(whole, FAR))
                 if cost < FAR:
                     rank = (cost + wide * 0.5, -len(whole), alias)
                     if best is None or rank < best[0]:
-                        best = (rank, term)
+                        best = (rank, names[alias])
         return best[1] if best else ""
 
     def inside(self, text: str) -> str:
@@ -223,11 +255,23 @@ class Lexicon:
         return out
 
 
-def map_terms(mentions: DataFrame, vocabulary: DataFrame, fields: list[str] = FIELDS, aliases: dict = ALIASES) -> DataFrame:
-    """(mention_key, field, pos, term) of every value that is not a term letter for letter; term is '' if none fits."""
-    rows = small(vocabulary.filter(F.col("vocab_key").isin(fields)).select("vocab_key", F.to_json(F.coalesce("vocab", F.array().cast("array<string>"))).alias("terms")), 10_000)
-    if rows is None:
-        raise ValueError("the lists of terms are too large to be lists of terms")
+def alias_table(aliases: DataFrame) -> dict[str, dict[str, str]]:
+    """Aliases from a table (field, term, alias), in the form of ALIASES."""
+    out: dict[str, dict[str, str]] = {}
+    for field, term, alias in bounded(aliases.select("field", "term", "alias").filter("field is not null and term is not null and alias is not null").distinct(), "aliases", MOST_ALIASES):
+        terms = out.setdefault(field, {})
+        terms[term] = f"{terms[term]}, {alias}" if term in terms else alias
+    return out
+
+
+def map_terms(mentions: DataFrame, vocabulary: DataFrame, fields: list[str] = FIELDS, aliases: dict | DataFrame = ALIASES) -> DataFrame:
+    """(mention_key, field, pos, term) of every value that is not a term letter for letter; term is '' if none fits.
+
+    aliases: field -> term -> names parted by commas, or a table (field, term, alias).
+    """
+    if isinstance(aliases, DataFrame):
+        aliases = alias_table(aliases)
+    rows = bounded(vocabulary.filter(F.col("vocab_key").isin(fields)).select("vocab_key", F.to_json(F.coalesce("vocab", F.array().cast("array<string>"))).alias("terms")), "lists of terms", 10_000)
     import json
 
     terms: dict[str, list[str]] = {f: [] for f in fields}
