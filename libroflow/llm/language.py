@@ -2,14 +2,16 @@
 
 A naive Bayes model over words (with word endings for unseen ones) is fitted on a bounded sample of labelled rows and
 gives every paragraph's text likelihood. It is combined with the declared language (its reliability measured over
-all documents), and with priors of the host: counts per source and volume, smoothed towards their source,
-which is smoothed towards the whole corpus, all computed by grouped aggregation over every document.
+all documents), with the address suffix (how much more frequent a language is under it than elsewhere), and with
+priors of the host: counts per source and volume, smoothed towards their source, which is smoothed towards the whole
+corpus. All counts come from grouped aggregation over every document, and a document's own vote is taken out of
+those it is judged by. A paragraph hardly any word of which is known is of an `other` language, with low confidence.
 
 Parameters: SAMPLE labelled rows at most are read for the fit; everything else covers all rows.
 
-Defined edge cases: rows without an id are left out; null, empty and blank texts have no paragraph and give no row; a null source or volume is a host of
-its own; a text with no letters at all takes its prior; a corpus without any usable label takes the built-in
-function words alone; repeated rows come once; clashing extra columns are not read.
+Defined edge cases: rows without an id are left out; null, empty and blank texts have no paragraph and give no row; a null
+source, volume or suffix is one of its own; a text with no letters at all takes its prior; a corpus without any usable
+label takes the built-in function words alone; repeated rows come once; clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +29,13 @@ from pyspark.sql import functions as F
 from libroflow.session import cut, small
 
 LANGS = ["es", "pt", "en", "fr", "la"]
+OTHER = "other"
 SAMPLE = 3000
 BYTES = 128 << 20  # of text in the sample, at most
 ROUNDS = 2
+STRENGTH = 20.0  # documents that the next wider prior counts for
+KNOWN = 0.15  # a paragraph of LEAST words or more with a smaller share of known ones is of an other language
+LEAST = 12
 STAY = 0.9  # prior weight that a paragraph is in its document's language
 
 # Names under which a language is declared, without accents and in lower case.
@@ -127,11 +133,25 @@ class Model:
         flat = self.ids([w for g in groups for w in g])
         out = np.zeros((len(groups), self.matrix.shape[1]))
         if flat:
-            full = sizes > 0
-            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64)
+            full, starts = self._starts(sizes)
             out[full] = np.add.reduceat(self.matrix[np.array(flat)], starts, axis=0)
         return out
 
+    def foreign(self, groups: list[list[bytes]]) -> np.ndarray:
+        """Whether hardly any word of a group is known."""
+        sizes = np.array([len(g) for g in groups])
+        out = np.zeros(len(groups))
+        flat = np.array([w in self.word for g in groups for w in g], dtype=np.float64)
+        if len(flat):
+            full, starts = self._starts(sizes)
+            out[full] = np.add.reduceat(flat, starts)
+        return (sizes >= LEAST) & (out < KNOWN * sizes)
+
+    @staticmethod
+    def _starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        full = sizes > 0
+        return full, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64)
+
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     """rows: (text, declared code). Paragraphs are re-assigned by the model before each further round, as declared
@@ -162,13 +182,13 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _score(model: Model):
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("volume_id", pa.int64()), ("code", pa.int32()), ("chars", pa.list_(pa.int64())), ("ll", pa.list_(pa.float64())), ("top", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("volume_id", pa.int64()), ("suffix", pa.string()), ("code", pa.int32()), ("chars", pa.list_(pa.int64())), ("ll", pa.list_(pa.float64())), ("top", pa.int32()), ("foreign", pa.list_(pa.bool_()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            heads = [b.column(i).to_pylist() for i in range(4)]
+            heads = [b.column(i).to_pylist() for i in range(5)]
             docs, groups, chars = [], [], []
-            for k, text in enumerate(b.column(4)):
+            for k, text in enumerate(b.column(5)):
                 pars = paragraphs_of(text.as_py() or "")
                 if pars:
                     docs.append((k, len(pars)))
@@ -176,37 +196,38 @@ def _score(model: Model):
                     groups += [words_of(p) for p in pars]
             if not docs:
                 continue
-            ll = model.likelihoods(groups)
-            at, out_ll, top = 0, [], []
+            ll, odd = model.likelihoods(groups), model.foreign(groups)
+            at, out_ll, top, out_odd = 0, [], [], []
             for _, n in docs:
                 part = ll[at : at + n]
+                out_odd.append(odd[at : at + n])
                 at += n
                 out_ll.append(part.ravel())
                 top.append(int(part.sum(axis=0).argmax()))
             keep = [k for k, _ in docs]
-            cols = [[h[k] for k in keep] for h in heads] + [chars, out_ll, top]
+            cols = [[h[k] for k in keep] for h in heads] + [chars, out_ll, top, out_odd]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
     return run
 
 
-def host_priors(scored: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
-    """Smoothed language priors per (source, volume), the corpus' shares, and how often a declared code is right."""
+def host_counts(scored: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, float]:
+    """Votes for each language per (source, volume) beside those of its source, and per suffix; the corpus' votes; how often
+    a declared code is right."""
     n = len(LANGS)
-    row = scored.agg(*[F.sum((F.col("top") == i).cast("double")) for i in range(n)], F.sum(((F.col("code") == F.col("top")) & (F.col("code") >= 0)).cast("double")), F.sum((F.col("code") >= 0).cast("double"))).first()
-    counts = np.array([row[i] or 0.0 for i in range(n)])
-    corpus = (counts + 1) / (counts.sum() + n)
+    votes = [F.sum((F.col("top") == i).cast("double")).alias(f"n{i}") for i in range(n)]
+    row = scored.agg(*votes, F.sum(((F.col("code") == F.col("top")) & (F.col("code") >= 0)).cast("double")), F.sum((F.col("code") >= 0).cast("double"))).first()
+    corpus = np.array([row[i] or 0.0 for i in range(n)])
     reliable = ((row[n] or 0.0) + 8) / ((row[n + 1] or 0.0) + 10)
-    cells = scored.groupBy("source", "volume_id").agg(*[F.sum((F.col("top") == i).cast("double")).alias(f"n{i}") for i in range(n)])
-    hosts = cells.groupBy("source").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(n)])
-    both = cells.join(hosts.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    ns, ss = sum((F.col(f"n{i}") for i in range(n)), F.lit(0.0)), sum((F.col(f"s{i}") for i in range(n)), F.lit(0.0))
-    strength = 20.0
-    prior = F.array(*[(F.col(f"n{i}") + strength * (F.col(f"s{i}") + strength * float(corpus[i])) / (ss + strength)) / (ns + strength) for i in range(n)])
-    return both.select(F.col("source").alias("h_source"), F.col("volume_id").alias("h_volume"), prior.alias("prior")), corpus, reliable
+    cells = scored.groupBy("source", "volume_id").agg(*votes)
+    hosts = cells.groupBy(F.col("source").alias("_source")).agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(n)])
+    both = cells.join(hosts, F.col("source").eqNullSafe(F.col("_source")))
+    hosted = both.select(F.col("source").alias("h_source"), F.col("volume_id").alias("h_volume"), F.array(*[f"n{i}" for i in range(n)]).alias("cell"), F.array(*[f"s{i}" for i in range(n)]).alias("host"))
+    suffixes = scored.groupBy(F.col("suffix").alias("x_suffix")).agg(*votes).select("x_suffix", F.array(*[f"n{i}" for i in range(n)]).alias("under"))
+    return hosted, suffixes, corpus, reliable
 
 
-def _fuse(reliable: float):
+def _fuse(reliable: float, corpus: np.ndarray, suffixed: bool):
     n = len(LANGS)
     schema = pa.schema([("doc_id", pa.int64()), ("par_no", pa.int32()), ("chars", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("doc_lang", pa.string()), ("doc_confidence", pa.float64()), ("mixed", pa.bool_()), ("label_ok", pa.bool_())])
 
@@ -217,9 +238,15 @@ def _fuse(reliable: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
-            for doc, code, chars, ll, prior in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "code", "chars", "ll", "prior")]):
+            for doc, code, chars, ll, top, odd, *votes in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "code", "chars", "ll", "top", "foreign", "cell", "host", "under")]):
                 ll = np.array(ll).reshape(-1, n)
-                base = np.log(np.array(prior))
+                own = np.arange(n) == top
+                cell, host, under, every = (np.maximum(np.array(x) - own, 0.0) for x in (*votes, corpus))  # without this text's own vote
+                share = (every + 1) / (every.sum() + n)
+                prior = (host + STRENGTH * share) / (host.sum() + STRENGTH)
+                prior = (cell + STRENGTH * prior) / (cell.sum() + STRENGTH)
+                lift = (under + STRENGTH * share) / (under.sum() + STRENGTH) / share
+                base = np.log(prior) + (np.log(lift) if suffixed else 0.0)
                 if code >= 0:
                     said = np.full(n, np.log((1 - reliable) / (n - 1)))
                     said[code] = np.log(reliable)
@@ -231,24 +258,38 @@ def _fuse(reliable: float):
                 main = int(weight.argmax())
                 share = float((pars[:, main] * np.array(chars)).sum() / max(1, sum(chars)))
                 mixed = len(set(best.tolist())) > 1
+                strange = sum(c for c, x in zip(chars, odd) if x) * 2 > sum(chars)
                 for i, k in enumerate(best):
-                    out.append((doc, i + 1, chars[i], LANGS[k], float(pars[i, k]), LANGS[main], share, mixed, code == main))
+                    # what is known of an other language is only that it is none of these
+                    lang, sure = (OTHER, float(pars[i, k]) / n) if odd[i] else (LANGS[k], float(pars[i, k]))
+                    out.append((doc, i + 1, chars[i], lang, sure, OTHER if strange else LANGS[main], share / n if strange else share, mixed or any(odd) and not all(odd), code == main and not strange))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def address_suffix(address: F.Column) -> F.Column:
+    """The last label of the host of an address, null where there is none."""
+    host = F.regexp_extract(F.lower(F.trim(address)), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)", 1)
+    return F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})\.?$", 1), F.lit(""))
+
+
+def identify(docs: DataFrame, sample: int = SAMPLE, suffix: str | None = None) -> DataFrame:
     """One row per non-blank paragraph: language and confidence, with those of its document, whether the document
-    mixes languages, and whether the declared language is the document's."""
+    mixes languages, and whether the declared language is the document's.
+
+    suffix: a column with the address suffix (`address_suffix`), or what else tells where a document is from.
+    """
     docs = docs.filter(F.col("doc_id").isNotNull())
     model = fit_on(docs, sample)
     index = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LANGS]), declared(F.col("lang"))) - 1, F.lit(-1)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("bigint"), "source", F.col("volume_id").cast("bigint"), F.when(declared(F.col("lang")).isNull(), -1).otherwise(index).alias("code"), "text")
-    scored = cut(rows.mapInArrow(_score(model), "doc_id bigint, source string, volume_id bigint, code int, chars array<bigint>, ll array<double>, top int"))
-    priors, _, reliable = host_priors(scored)
-    few = small(priors.select("h_source", "h_volume"), 200_000)
-    side = F.broadcast(priors) if few is not None else priors
-    fed = scored.join(side, F.col("source").eqNullSafe(F.col("h_source")) & F.col("volume_id").eqNullSafe(F.col("h_volume"))).select("doc_id", "code", "chars", "ll", "prior")
-    return fed.mapInArrow(_fuse(reliable), "doc_id bigint, par_no int, chars bigint, lang string, confidence double, doc_lang string, doc_confidence double, mixed boolean, label_ok boolean")
+    told = F.col(suffix).cast("string") if suffix else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "source", F.col("volume_id").cast("bigint"), told.alias("suffix"), F.when(declared(F.col("lang")).isNull(), -1).otherwise(index).alias("code"), "text")
+    scored = cut(rows.mapInArrow(_score(model), "doc_id bigint, source string, volume_id bigint, suffix string, code int, chars array<bigint>, ll array<double>, top int, foreign array<boolean>"))
+    hosts, suffixes, corpus, reliable = host_counts(scored)
+    bound = lambda df, *keys: F.broadcast(df) if small(df.select(*keys), 200_000) is not None else df
+    fed = scored.join(bound(hosts, "h_source", "h_volume"), F.col("source").eqNullSafe(F.col("h_source")) & F.col("volume_id").eqNullSafe(F.col("h_volume")))
+    fed = fed.join(bound(suffixes, "x_suffix"), F.col("suffix").eqNullSafe(F.col("x_suffix"))) if suffix else fed.withColumn("under", F.array(*[F.lit(0.0)] * len(LANGS)))
+    fed = fed.select("doc_id", "code", "chars", "ll", "top", "foreign", "cell", "host", "under")
+    return fed.mapInArrow(_fuse(reliable, corpus, suffix is not None), "doc_id bigint, par_no int, chars bigint, lang string, confidence double, doc_lang string, doc_confidence double, mixed boolean, label_ok boolean")

@@ -13,7 +13,7 @@ from libroflow.llm.leakage import leaks
 from libroflow.llm.packing import pack_all, token_counts
 from libroflow.llm.pages import line_kinds, repaired
 from libroflow.llm.variants import variant_people
-from libroflow.session import table
+from libroflow.session import small, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +42,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_ids(table(spark, sf_dir, "match_decisions"), "left_ids", "right_ids", "is_match").select(F.col("id").alias("mention_id"), F.col("group").alias("group_id"))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with the country of their volume, which stands for the address suffix they lack."""
+    known = table(spark, sf_dir, "volumes").filter("volume_id is not null").groupBy(F.col("volume_id").alias("_v")).agg(F.min("country").alias("_country"))
+    side = F.broadcast(known) if small(known, 100_000) is not None else known
+    return table(spark, sf_dir, "documents").join(side, F.col("volume_id") == F.col("_v"), "left")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents")).filter(F.col("mixed") | ~F.col("label_ok")).select("doc_id", "par_no", "lang").distinct()
+    return identify(_placed(spark, sf_dir), suffix="_country").filter(F.col("mixed") | ~F.col("label_ok")).select("doc_id", "par_no", "lang").distinct()
 
 
 def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every document and paragraph."""
-    return identify(table(spark, sf_dir, "documents")).distinct()
+    return identify(_placed(spark, sf_dir), suffix="_country").distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
