@@ -40,6 +40,25 @@ def is_empty(c: Column) -> Column:
     return c.isNull() | (F.size(c) == 0)
 
 
+def same_value(a: Column, b: Column, threshold: float = 0.8) -> Column:
+    """Whether two texts are the same: both null, or at least so similar; equality where that is all that is asked."""
+    alike = a == b if threshold >= 1 else indel_ratio(a, b) >= threshold
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(alike)
+
+
+def same_list(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same members, order and repeats aside."""
+    members = lambda c: F.array_sort(F.array_distinct(F.array_compact(c)))
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(members(a) == members(b))
+
+
+def common_last(truth: DataFrame, test: DataFrame, on: list[str], truth_order: list[str], test_order: list[str]) -> DataFrame:
+    """What truth and test share by the keys `on`, with the order columns of the last row of each side as structs `truth`
+    and `test`: of repeated keys the last counts."""
+    a = truth.groupBy(*on).agg(F.max(F.struct(*truth_order)).alias("truth"))
+    return a.join(test.groupBy(*on).agg(F.max(F.struct(*test_order)).alias("test")), on)
+
+
 def text_metric(pairs: DataFrame, truth: str, test: str) -> DataFrame:
     """One row: similarity and its complement summed over the pairs, and precision = recall = F = their mean."""
     s = text_similarity(pairs, truth, test).agg(F.sum("similarity").alias("tp"), F.sum(1 - F.col("similarity")).alias("fp"), F.count("similarity").alias("n"))

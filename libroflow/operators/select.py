@@ -77,6 +77,11 @@ def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[st
     return left.join(best, on, "left")
 
 
+def in_order(left: DataFrame, right: DataFrame, on: list[str], group: str, order: list[str]) -> DataFrame:
+    """Inner join that keeps the left side's order within each group, as `place` from 1."""
+    return left.join(right, on).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
 def unindexed(items: DataFrame, wanted: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Items that are wanted and not indexed yet."""
     return items.join(wanted.select(key), key, "left_semi").join(index.select(key), key, "left_anti")

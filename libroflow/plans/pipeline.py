@@ -32,15 +32,16 @@ def volume_edges(edges: DataFrame, people: DataFrame) -> DataFrame:
     return both.select("volume_id", F.coalesce("src_id", "src").alias("src"), F.coalesce("dst_id", "dst").alias("dst"), "rel").distinct()
 
 
-def volume_events(events: DataFrame, people: DataFrame, most: int = 2) -> DataFrame:
+def volume_events(events: DataFrame, people: DataFrame, most: int = 2, extra: list[str] = ()) -> DataFrame:
     """Events with ids `entry-E00` and their people remapped; more than `most` principals are cut to the first ones.
 
-    events: volume_id, entry_id, event_pos (from 0), type, date, principals, witnesses.
+    events: volume_id, entry_id, event_pos (from 0), type, date, principals, witnesses; extra: more columns that tell
+    events apart.
     """
     lists = F.array(F.struct(F.lit("principal").alias("role"), F.slice(F.coalesce("principals", F.array().cast("array<string>")), 1, most).alias("who")), F.struct(F.lit("witness").alias("role"), F.coalesce("witnesses", F.array().cast("array<string>")).alias("who")))
-    flat = events.withColumn("x", F.explode(lists)).select("volume_id", "entry_id", "event_pos", "type", "date", "x.role", F.posexplode_outer("x.who").alias("place", "person_id"))
+    flat = events.withColumn("x", F.explode(lists)).select("volume_id", "entry_id", *extra, "event_pos", "type", "date", "x.role", F.posexplode_outer("x.who").alias("place", "person_id"))
     ids = people.select("volume_id", "entry_id", "person_id", "cluster_id")
     named = flat.join(ids, ["volume_id", "entry_id", "person_id"], "left").withColumn("who", F.coalesce("cluster_id", "person_id"))
     gathered = lambda role: F.transform(F.array_sort(F.collect_list(F.when((F.col("role") == role) & F.col("who").isNotNull(), F.struct("place", "who")))), lambda s: s["who"])
-    out = named.groupBy("volume_id", "entry_id", "event_pos", "type", "date").agg(gathered("principal").alias("principals"), gathered("witness").alias("witnesses"))
+    out = named.groupBy("volume_id", "entry_id", *extra, "event_pos", "type", "date").agg(gathered("principal").alias("principals"), gathered("witness").alias("witnesses"))
     return out.withColumn("event_id", F.concat("entry_id", F.lit("-E"), pad(F.col("event_pos"), 2)))

@@ -1,6 +1,6 @@
 import pytest
 
-from libroflow.plans import reference, training
+from libroflow.plans import extraction, reference, training
 from tests.oracle import DATA, connect, differences
 
 
@@ -20,6 +20,11 @@ def test_problem_query(spark, con, name, tmp_path):
     assert differences(con, training.QUERIES[name](spark, DATA), training.ORACLES[name], str(tmp_path / name)) == (True, 0, 0)
 
 
+@pytest.mark.parametrize("name", sorted(extraction.ORACLES))
+def test_extraction_query(spark, con, name, tmp_path):
+    assert differences(con, extraction.QUERIES[name](spark, DATA), extraction.ORACLES[name], str(tmp_path / name)) == (True, 0, 0)
+
+
 @pytest.mark.parametrize("name", sorted(set(reference.QUERIES) - set(reference.ORACLES)) + sorted(set(training.QUERIES) - set(training.ORACLES)))
 def test_query_runs(spark, name):
     q = (reference.QUERIES | training.QUERIES)[name]
