@@ -23,16 +23,22 @@ def not_after(a: Column, b: Column) -> Column:
     return a <= b
 
 
+def _day(y: Column, m: Column, d: Column) -> Column:
+    """Zero-padded; longer numbers are kept whole."""
+    part = lambda c, n: F.when(c < 10 ** (n - 1), F.lpad(c.cast("string"), n, "0")).otherwise(c.cast("string"))
+    return F.concat(part(y, 4), F.lit("-"), part(m, 2), F.lit("-"), part(d, 2))
+
+
 def start_of(parts: Column) -> Column:
     y, m, d = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(1)), F.coalesce(F.get(parts, F.lit(2)), F.lit(1))
-    return F.when(F.size(parts) > 0, F.format_string("%04d-%02d-%02d", y, m, d))
+    return F.when(F.size(parts) > 0, _day(y, m, d))
 
 
 def end_of(parts: Column) -> Column:
     y, m = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(12))
     last = F.element_at(F.array(*[F.lit(n) for n in MONTH_DAYS]), F.greatest(F.least(m, F.lit(12)), F.lit(1)))
     d = F.coalesce(F.get(parts, F.lit(2)), last)
-    return F.when(F.size(parts) > 0, F.format_string("%04d-%02d-%02d", y, m, d))
+    return F.when(F.size(parts) > 0, _day(y, m, d))
 
 
 def complete_date(c: Column, mode: str = "m") -> Column:

@@ -31,11 +31,19 @@ def f_score(p: Column, r: Column) -> Column:
     return F.when((p == 0) | (r == 0), 0.0).otherwise(2 * p * r / (p + r))
 
 
-def gcd(a: Column, b: Column, steps: int = 48) -> Column:
-    """Greatest common divisor of two numbers by Euclid's steps; 48 suffice for 32 bits."""
-    pair = F.struct(F.abs(a).cast("bigint").alias("x"), F.abs(b).cast("bigint").alias("y"))
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two whole numbers by Euclid's steps: as many as the smaller one can need (its logarithm to
+    the golden ratio), whatever its size."""
+    x, y = F.abs(a).cast("bigint"), F.abs(b).cast("bigint")
+    steps = F.ceil(1.4405 * F.log2(F.least(x, y).cast("double") + 1)).cast("int") + 2
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.when(s["y"] != 0, s["x"] % s["y"]).otherwise(F.lit(0).cast("bigint")).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), pair, step)["x"]
+    return F.aggregate(F.sequence(F.lit(1), steps), F.struct(x.alias("x"), y.alias("y")), step)["x"]
+
+
+def area_scores(shared: Column, truth: Column, found: Column) -> Column:
+    """Precision, recall and F of areas: what is shared against all that was found and all that is true."""
+    p, r = F.when(found > 0, shared / found).otherwise(0.0), F.when(truth > 0, shared / truth).otherwise(0.0)
+    return F.struct(p.alias("precision"), r.alias("recall"), f_score(p, r).alias("f"))
 
 
 def to_corners(x: Column, y: Column, w: Column, h: Column) -> Column:

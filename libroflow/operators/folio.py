@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from libroflow.operators.layout import x_density
+from libroflow.session import cut
 
 
 def cuts(boxes: DataFrame, image: str, side: str, width: int, bins: int = 50) -> DataFrame:
@@ -74,7 +75,7 @@ def classified(boxes: DataFrame, image: str, side: str, width: int, max_area: in
     """All label rules in order."""
     from libroflow.operators.layout import contained
 
-    shaped = odd_shapes(labelled(boxes, image, side, width, bins))
+    shaped = cut(odd_shapes(labelled(boxes, image, side, width, bins)))  # the rules below read it several times
     large = contained(shaped, image, max_area)
     sized = large.withColumn("label", F.when(F.col("other"), "other").otherwise(F.col("label"))).drop("other")
-    return sparse_to_other(pulled_in(sized, image), image)
+    return sparse_to_other(cut(pulled_in(sized, image)), image)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -157,6 +157,37 @@ def paragraph_breaks(lines: DataFrame, image: str, at: str, multiplier: float) -
     return gap.withColumn("_m", F.avg("gap").over(Window.partitionBy(image))).filter(F.col("gap") >= multiplier * F.col("_m")).drop("_m")
 
 
+def column_breaks(lines: DataFrame, image: str, at: str, density: str, multiplier: float, low: float) -> DataFrame:
+    """Paragraph breaks by gap or by density: a line followed by a gap of at least `multiplier` times the mean gap, or by a
+    line whose density is below `low` times the mean. Of breaks on neighbouring lines, pair by pair from the top, the
+    lower one stays. (image, at)"""
+    w, every = Window.partitionBy(image).orderBy(at), Window.partitionBy(image)
+    step = lines.withColumn("_n", F.row_number().over(w)).withColumn("_gap", F.lead(at).over(w) - F.col(at)).withColumn("_next", F.lead(density).over(w))
+    step = step.withColumn("_mg", F.avg("_gap").over(every)).withColumn("_md", F.avg(density).over(every))
+    found = step.filter((F.col("_gap") >= multiplier * F.col("_mg")) | (F.col("_next") < low * F.col("_md")))
+    run = found.withColumn("_run", F.col("_n") - F.row_number().over(w))
+    place = Window.partitionBy(image, "_run").orderBy(at)
+    run = run.withColumn("_i", F.row_number().over(place)).withColumn("_last", F.lead(at).over(place).isNull())
+    return run.filter((F.col("_i") % 2 == 0) | F.col("_last")).select(image, at)
+
+
+def merged_strips(cuts: DataFrame, image: str, at: str, end: str, least: int = 10) -> DataFrame:
+    """Line strips between cuts: (image, top, bottom). A strip lower than `least` is merged into the one below it, so a cut
+    counts only if it is that far below the last one that did; a rest lower than `least` goes. A page's cuts are few."""
+    ordered = F.array_sort(F.collect_set(F.col(at).cast("bigint")))
+    held = cuts.groupBy(image).agg(ordered.alias("_c"), F.max(F.col(end).cast("bigint")).alias("_e"))
+    start = F.array(F.lit(0).cast("bigint"))
+    kept = F.aggregate("_c", start, lambda acc, c: F.when(c - F.element_at(acc, -1) >= least, F.concat(acc, F.array(c))).otherwise(acc))
+    whole = held.withColumn("_k", kept).withColumn("_k", F.when(F.col("_e") - F.element_at("_k", -1) >= least, F.concat("_k", F.array("_e"))).otherwise(F.col("_k")))
+    parts = F.transform(F.sequence(F.lit(1), F.size("_k") - 1), lambda i: F.struct(F.element_at("_k", i).alias("top"), F.element_at("_k", i + 1).alias("bottom")))
+    return whole.filter(F.size("_k") > 1).select(image, F.explode(parts).alias("p")).select(image, "p.top", "p.bottom")
+
+
+def row_sums(pixels: DataFrame, image: str, y: str, value: str) -> DataFrame:
+    """(image, y, total): the ink of each row."""
+    return pixels.groupBy(image, y).agg(F.sum(value).alias("total"))
+
+
 def cut_boxes(boxes: DataFrame, cuts: DataFrame, image: str, row: str) -> DataFrame:
     """Boxes cut at the rows that run through them, the rest below the last cut included."""
     at = cuts.groupBy(F.col(image).alias("_i")).agg(F.sort_array(F.collect_set(row)).alias("rows"))
@@ -167,33 +198,59 @@ def cut_boxes(boxes: DataFrame, cuts: DataFrame, image: str, row: str) -> DataFr
     return cut.select(image, "box_id", "left", "right", F.posexplode("_p").alias("part", "edge")).select(image, "box_id", "part", "left", F.col("edge.top").alias("top"), "right", F.col("edge.bottom").alias("bottom"))
 
 
-def merged_boxes(boxes: DataFrame, image: str, threshold: int) -> DataFrame:
-    """Boxes closer than the threshold merged into their hulls until nothing more merges. The boxes of one image are a
-    page's components."""
+def hulls(boxes: list[list[int]], near: int) -> list[list[int]]:
+    """Boxes (left, top, right, bottom) no further apart than `near` merged until nothing more merges, in order."""
+    again = True
+    while again:
+        again, out = False, []
+        for b in boxes:
+            for o in out:
+                if b[0] <= o[2] + near and o[0] <= b[2] + near and b[1] <= o[3] + near and o[1] <= b[3] + near:
+                    o[:] = [min(o[0], b[0]), min(o[1], b[1]), max(o[2], b[2]), max(o[3], b[3])]
+                    again = True
+                    break
+            else:
+                out.append(list(b))
+        boxes = out
+    return sorted(boxes)
+
+
+def _per_page(boxes: DataFrame, image: str, merge: Callable[[list[list[int]]], tuple[int, list[list[int]]]]) -> DataFrame:
+    """(image, threshold, left, top, right, bottom): what `merge` makes of the boxes of each image, a page's components."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for i, boxes_ in zip(pdf[image], pdf["boxes"]):
-                hulls = [list(map(int, (b["left"], b["top"], b["right"], b["bottom"]))) for b in boxes_]
-                again = True
-                while again:
-                    again, out = False, []
-                    for b in hulls:
-                        for o in out:
-                            if b[0] <= o[2] + threshold and o[0] <= b[2] + threshold and b[1] <= o[3] + threshold and o[1] <= b[3] + threshold:
-                                o[:] = [min(o[0], b[0]), min(o[1], b[1]), max(o[2], b[2]), max(o[3], b[3])]
-                                again = True
-                                break
-                        else:
-                            out.append(b)
-                    hulls = out
-                rows += [(i, *h) for h in sorted(hulls)]
-            yield pd.DataFrame(rows, columns=[image, "left", "top", "right", "bottom"])
+            for i, held in zip(pdf[image], pdf["boxes"]):
+                near, out = merge([[int(b[c]) for c in ("left", "top", "right", "bottom")] for b in held])
+                rows += [(i, near, *h) for h in out]
+            yield pd.DataFrame(rows, columns=[image, "threshold", "left", "top", "right", "bottom"])
 
     held = boxes.groupBy(image).agg(F.collect_list(F.struct("left", "top", "right", "bottom")).alias("boxes"))
-    kind = dict(boxes.dtypes)[image]
-    return held.mapInPandas(run, f"{image} {kind}, left bigint, top bigint, right bigint, bottom bigint")
+    return held.mapInPandas(run, f"{image} {dict(boxes.dtypes)[image]}, threshold int, left bigint, top bigint, right bigint, bottom bigint")
+
+
+def merged_boxes(boxes: DataFrame, image: str, threshold: int) -> DataFrame:
+    """Boxes closer than the threshold merged into their hulls until nothing more merges."""
+    return _per_page(boxes, image, lambda b: (threshold, hulls(b, threshold))).drop("threshold")
+
+
+def adaptively_merged(boxes: DataFrame, image: str, wanted: tuple[int, int] = (2, 4), threshold: int = 20, bounds: tuple[int, int] = (0, 100), step: int = 5, tries: int = 10) -> DataFrame:
+    """Boxes merged with a threshold that is raised or lowered by `step` per image, at most `tries` times and within its
+    bounds, until their number is as wanted."""
+
+    def merge(held: list[list[int]]) -> tuple[int, list[list[int]]]:
+        near = threshold
+        out = hulls(held, near)
+        for _ in range(tries):
+            to = near + step if len(out) > wanted[1] else near - step if len(out) < wanted[0] else near
+            to = max(bounds[0], min(bounds[1], to))
+            if to == near:
+                break
+            near, out = to, hulls(held, to)
+        return near, out
+
+    return _per_page(boxes, image, merge)
 
 
 def best_of(df: DataFrame, group: str, candidate: str, score: str) -> DataFrame:

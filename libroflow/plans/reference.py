@@ -227,8 +227,9 @@ _DATE_TEXT = "CASE o_orderpriority WHEN '1-URGENT' THEN strftime(o_orderdate, '%
 def date_complete(spark, sf_dir):
     day = lambda f: F.date_format("o_orderdate", f)
     d = F.when(F.col("o_orderpriority") == "1-URGENT", day("yyyy")).when(F.col("o_orderpriority") == "2-HIGH", day("yyyy-MM")).when(F.col("o_orderpriority") == "5-LOW", F.concat(day("yyyy-MM"), F.lit("-__"))).otherwise(day("yyyy-MM-dd"))
-    t = table(spark, sf_dir, "orders").select("o_orderkey", d.alias("d"))
-    return t.select("o_orderkey", "d", *[dates.complete_date(F.col("d"), m).alias(n) for m, n in (("s", "first_day"), ("e", "last_day"), ("m", "span"))])
+    t = table(spark, sf_dir, "orders").select("o_orderkey", d.alias("d")).withColumn("p", dates.parse_date(F.col("d")))
+    t = t.withColumn("first_day", dates.start_of(F.col("p"))).withColumn("last_day", dates.end_of(F.col("p")))
+    return t.select("o_orderkey", "d", "first_day", "last_day", F.concat_ws("/", "first_day", "last_day").alias("span"))
 
 
 @query("""WITH w AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS a, strftime(lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), '%Y-%m-%d') AS b FROM orders)
@@ -518,11 +519,53 @@ def cut_rectangles(spark, sf_dir):
     return layout.cut_boxes(boxes, cuts, "image", "y").select("image", "box_id", "top", "bottom")
 
 
-@query(None)
+# Each round every box grows to the hull of those near it; those of one group end as one hull.
+_HULLS = ", ".join(f"""h{i} AS (SELECT DISTINCT a.image, min(b.x0) AS x0, min(b.y0) AS y0, max(b.x1) AS x1, max(b.y1) AS y1 FROM h{i - 1} a JOIN h{i - 1} b ON a.image = b.image AND a.x0 <= b.x1 + 20 AND b.x0 <= a.x1 + 20 AND a.y0 <= b.y1 + 20 AND b.y0 <= a.y1 + 20 GROUP BY a.image, a.x0, a.y0, a.x1, a.y1)""" for i in range(1, 13))
+
+
+@query(f"""WITH {_BOXES}, h0 AS (SELECT DISTINCT image, "left" AS x0, top AS y0, "right" AS x1, bottom AS y1 FROM boxes), {_HULLS} SELECT image, x0, y0, x1, y1 FROM h12""")
 def merged_boxes(spark, sf_dir):
     return layout.merged_boxes(_boxes(spark, sf_dir), "image", 20).toDF("image", "x0", "y0", "x1", "y1")
 
 
+@query(None)
+def adaptive_boxes(spark, sf_dir):
+    return layout.adaptively_merged(_boxes(spark, sf_dir), "image").toDF("image", "threshold", "x0", "y0", "x1", "y1")
+
+
+@query(f"""WITH {_BOXES}, g AS (SELECT image, top, "right" - "left" AS d FROM boxes QUALIFY row_number() OVER (PARTITION BY image, top ORDER BY box_id) = 1),
+    s AS (SELECT *, row_number() OVER w AS n, lead(top) OVER w - top AS gap, lead(d) OVER w AS nd FROM g WINDOW w AS (PARTITION BY image ORDER BY top)), m AS (SELECT *, avg(gap) OVER (PARTITION BY image) AS mg, avg(d) OVER (PARTITION BY image) AS md FROM s),
+    f AS (SELECT *, n - row_number() OVER (PARTITION BY image ORDER BY top) AS run FROM m WHERE gap >= 1.5 * mg OR nd < 0.5 * md), k AS (SELECT *, row_number() OVER w AS i, lead(top) OVER w IS NULL AS last FROM f WINDOW w AS (PARTITION BY image, run ORDER BY top))
+    SELECT image, top FROM k WHERE i % 2 = 0 OR last""")
+def column_breaks(spark, sf_dir):
+    """Breaks by gap or by density, the width of a line's first box standing for its density."""
+    lines = _boxes(spark, sf_dir).groupBy("image", "top").agg(F.min_by(F.col("right") - F.col("left"), "box_id").alias("density"))
+    return layout.column_breaks(lines, "image", "top", "density", 1.5, 0.5)
+
+
+@query(f"""WITH {_BOXES}, c AS (SELECT image, list_sort(list(DISTINCT top)) AS cuts, max(bottom) AS e FROM boxes GROUP BY 1),
+    k AS (SELECT image, e, list_reduce(list_prepend([0::BIGINT], list_transform(cuts, lambda c: [c])), lambda a, c: CASE WHEN c[1] - a[len(a)] >= 40 THEN list_concat(a, c) ELSE a END) AS k FROM c),
+    w AS (SELECT image, CASE WHEN e - k[len(k)] >= 40 THEN list_append(k, e) ELSE k END AS k FROM k)
+    SELECT image, k[i] AS top, k[i + 1] AS bottom FROM (SELECT image, k, unnest(range(1, len(k))) AS i FROM w)""")
+def merged_strips(spark, sf_dir):
+    return layout.merged_strips(_boxes(spark, sf_dir), "image", "top", "bottom", 40)
+
+
+@query(f"""WITH {_BOXES}, a AS (SELECT * FROM boxes WHERE box_id % 2 = 1), b AS (SELECT * FROM boxes WHERE box_id % 2 = 0), s AS (SELECT a.image, sum({_IOU}) AS shared FROM a JOIN b ON a.image = b.image GROUP BY 1),
+    t AS (SELECT image, sum(CASE WHEN box_id % 2 = 1 THEN ("right" - "left") * (bottom - top) ELSE 0 END) AS truth, sum(CASE WHEN box_id % 2 = 0 THEN ("right" - "left") * (bottom - top) ELSE 0 END) AS found FROM boxes GROUP BY 1),
+    p AS (SELECT image, CASE WHEN found > 0 THEN coalesce(shared, 0) / found ELSE 0 END AS p, CASE WHEN truth > 0 THEN coalesce(shared, 0) / truth ELSE 0 END AS r FROM t LEFT JOIN s USING (image))
+    SELECT image, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CASE WHEN p = 0 OR r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6)::DOUBLE AS f FROM p""")
+def area_scores(spark, sf_dir):
+    """Precision and recall of areas, the odd boxes of an image as the truth."""
+    boxes = _boxes(spark, sf_dir)
+    truth, found = _halves(boxes)
+    shared = evaluate.overlapping(truth, found, "image").groupBy("image").agg(F.sum(geometry.box_overlap(F.col("a"), F.col("b"))).alias("shared"))
+    area = (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))
+    sums = boxes.groupBy("image").agg(F.sum(F.when(F.col("box_id") % 2 == 1, area).otherwise(0)).alias("truth"), F.sum(F.when(F.col("box_id") % 2 == 0, area).otherwise(0)).alias("found"))
+    scores = geometry.area_scores(F.coalesce("shared", F.lit(0)), F.col("truth"), F.col("found"))
+    return sums.join(shared, "image", "left").withColumn("s", scores).select("image", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f")])
+
+
 @query(f"""WITH {_BOXES} SELECT image, box_id, gcd("right" - "left", bottom - top) AS g, ("left" * 0.75)::DOUBLE AS exact, trunc("left" * 0.75)::INT AS scaled FROM boxes""")
 def gcd_and_scale(spark, sf_dir):
     return _boxes(spark, sf_dir).select("image", "box_id", geometry.gcd(F.col("right") - F.col("left"), F.col("bottom") - F.col("top")).alias("g"), (F.col("left") * F.lit(0.75)).alias("exact"), geometry.scale(F.col("left"), F.lit(0.75)).alias("scaled"))
@@ -538,6 +581,11 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "v")).select("image", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
 
 
+@query(f"WITH {_PIXELS} SELECT image, y, round(sum(v), 6) AS total FROM pixels GROUP BY ALL")
+def row_sums(spark, sf_dir):
+    return layout.row_sums(_pixels(spark, sf_dir), "image", "y", "v").withColumn("total", F.round("total", 6))
+
+
 @query(f"WITH {_PIXELS} SELECT image, y, x, black FROM bw")
 def quantile_binarize(spark, sf_dir):
     return layout.binarized(_pixels(spark, sf_dir), "image", "v").select("image", "y", "x", "black")
@@ -656,7 +704,16 @@ def component_margins(spark, sf_dir):
     return folio.pulled_in(folio.labelled(_sided(spark, sf_dir), "image", "side", 1250, 20), "image").select("image", "box_id", "label")
 
 
-@query(None)
+@query(f"""WITH {_BOXES}, {_LABELS}, sh AS (SELECT *, CASE WHEN label NOT IN ('facing_folio', 'other') AND ("right" > "left" AND bottom - top > 5 * ("right" - "left") OR bottom > top AND "right" - "left" > 5 * (bottom - top)) THEN 'other' ELSE label END AS label2 FROM lab),
+    big AS (SELECT * FROM boxes WHERE ("right" - "left") * (bottom - top) > 25000),
+    held AS (SELECT DISTINCT b.image, b.box_id FROM boxes b JOIN big a ON a.image = b.image AND a."left" <= b."left" AND b."right" <= a."right" AND a.top <= b.top AND b.bottom <= a.bottom WHERE b."right" > b."left" AND b.bottom > b.top UNION SELECT image, box_id FROM big),
+    sz AS (SELECT sh.*, CASE WHEN held.box_id IS NOT NULL THEN 'other' ELSE label2 END AS label3 FROM sh LEFT JOIN held USING (image, box_id)),
+    pu AS (SELECT *, CASE WHEN label3 = 'text_region' AND "right" <= max(CASE WHEN label3 = 'margin' THEN "right" END) OVER (PARTITION BY image) THEN 'margin' ELSE label3 END AS label4 FROM sz),
+    tx AS (SELECT *, min("left") OVER w AS x0, min(top) OVER w AS y0, (max("right") OVER w - min("left") OVER w) / 10.0::DOUBLE AS tw, (max(bottom) OVER w - min(top) OVER w) / 10.0::DOUBLE AS th FROM pu WHERE label4 = 'text_region' WINDOW w AS (PARTITION BY image)),
+    ca AS (SELECT *, unnest(range(10)) AS cx FROM tx WHERE tw > 0 AND th > 0), cb AS (SELECT *, unnest(range(10)) AS cy FROM ca WHERE least("right" - x0, (cx + 1) * tw) > greatest("left" - x0, cx * tw)),
+    cc AS (SELECT image, box_id, count(*) OVER (PARTITION BY image, cx, cy) AS n FROM cb WHERE least(bottom - y0, (cy + 1) * th) > greatest(top - y0, cy * th)),
+    low AS (SELECT DISTINCT image, box_id FROM cc WHERE n < 2)
+    SELECT pu.image, pu.box_id, CASE WHEN low.box_id IS NOT NULL THEN 'other' ELSE label4 END AS label FROM pu LEFT JOIN low USING (image, box_id)""")
 def component_classes(spark, sf_dir):
     return folio.classified(_sided(spark, sf_dir), "image", "side", 1250, 25000, 20).select("image", "box_id", "label")
 
