@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,11 +11,7 @@ from pyspark.sql import functions as F
 MARKERS = ["[margin]", "[roto]", "[signed]", "<margin>", "</margin>", "&lt;insert&gt;", "&lt;/insert&gt;", "&lt;blurry&gt;", "&lt;/blurry&gt;"]
 
 
-def _literal(x: str) -> str:
-    return "".join("\\" + c if c in "[]()/<>&;.*^?+{}|\\$" and c not in "<>&;/" else c for c in x)
-
-
-MARKER_PATTERN = "|".join(_literal(m) for m in MARKERS)
+MARKER_PATTERN = "|".join(re.escape(m) for m in MARKERS)
 
 
 def strip_markers(c: Column) -> Column:

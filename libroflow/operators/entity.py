@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from libroflow.functions.text import pad
+from libroflow.operators.windows import row_numbers
 
 
 def qualified(entry: Column, person: Column) -> Column:
@@ -34,9 +35,8 @@ def scalar_view(values: Column) -> Column:
 
 
 def numbered(groups: DataFrame, volume: str, first: list[str], out: str) -> DataFrame:
-    """Volume-unique ids `volume-P00001` in the order of first mention; one window per volume over its groups only."""
-    n = F.row_number().over(Window.partitionBy(volume).orderBy(*first))
-    return groups.withColumn(out, F.concat(F.col(volume).cast("string"), F.lit("-P"), pad(n, 5)))
+    """Volume-unique ids `volume-P00001` in the order of first mention, numbered over the volume's groups only."""
+    return row_numbers(groups, volume, first, "_n").withColumn(out, F.concat(F.col(volume).cast("string"), F.lit("-P"), pad(F.col("_n"), 5))).drop("_n")
 
 
 def remapped(df: DataFrame, scope: str, ref: str, ids: DataFrame, old: str, new: str) -> DataFrame:

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from libroflow.operators.windows import nearest_known, next_values
 
 # Relationship types and their inverses; the dependent side of unequal ones; event types' principals.
 INVERSE = {"parent": "child", "child": "parent", "enslaver": "slave", "slave": "enslaver", "spouse": "spouse", "godparent": "godchild", "godchild": "godparent"}
@@ -94,15 +95,14 @@ def failed_outputs(failures: DataFrame, key: str, body: str, order: str) -> Data
 def stitched(entries: DataFrame, volume: str, order: list[str], verdict: str, raw: str) -> DataFrame:
     """Partial entries across images put together: a `beginning` followed by an `end` takes its text, and every `end`
     goes. A trailing beginning stays as it is."""
-    w = Window.partitionBy(volume).orderBy(*order)
-    nxt, text = F.lead(verdict).over(w), F.lead(raw).over(w)
-    joined = F.when((F.col(verdict) == "beginning") & (nxt == "end"), F.concat_ws(" ", F.col(raw), text)).otherwise(F.col(raw))
-    return entries.withColumn("_joined", joined).filter(F.coalesce(F.col(verdict) != "end", F.lit(True))).withColumn(raw, F.col("_joined")).drop("_joined")
-
-
-def back_filled(df: DataFrame, group: str, order: list[str], date: str, out: str) -> DataFrame:
-    """Undated rows between two dated ones get the range `last/next`."""
-    w = Window.partitionBy(group).orderBy(*order)
-    last = F.last(date, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    nxt = F.first(date, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return df.withColumn(out, F.coalesce(F.col(date), F.concat(last, F.lit("/"), nxt)))
+    entries = next_values(entries, volume, order, {verdict: "_verdict", raw: "_raw"})
+    joined = F.when((F.col(verdict) == "beginning") & (F.col("_verdict") == "end"), F.concat_ws(" ", F.col(raw), F.col("_raw"))).otherwise(F.col(raw))
+    return entries.withColumn("_joined", joined).filter(F.coalesce(F.col(verdict) != "end", F.lit(True))).withColumn(raw, F.col("_joined")).drop("_joined", "_verdict", "_raw")
+
+
+def back_filled(df: DataFrame, group: str, order: list[str], date: str, out: str, kind: str | None = None, whole: str = r"^\d{4}-\d{2}-\d{2}$") -> DataFrame:
+    """Undated rows between two dated ones get the range `last/next`. Only whole dates are carried; where `kind` names the
+    column of the event's type, births stay undated."""
+    near = nearest_known(df.withColumn("_whole", F.when(F.col(date).rlike(whole), F.col(date))), group, order, "_whole", "_last", "_next")
+    may = F.lit(True) if kind is None else F.coalesce(F.col(kind) != "birth", F.lit(True))
+    return near.withColumn(out, F.coalesce(F.col(date), F.when(may, F.concat("_last", F.lit("/"), "_next")))).drop("_whole", "_last", "_next")

@@ -60,6 +60,15 @@ def type_of(subjects: Column) -> Column:
     return out
 
 
+def catalogued(catalogue: DataFrame, wanted: DataFrame, identifier: str, subjects: str, order: list[str]) -> DataFrame:
+    """The catalogue's first row for each wanted identifier, with the record type that its subjects tell; identifiers that
+    are not in the catalogue stay, with nulls."""
+    rest = [c for c in catalogue.columns if c != identifier]
+    first = catalogue.filter(F.col(identifier).isNotNull()).groupBy(identifier).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_c"))
+    out = wanted.select(identifier).distinct().join(first, identifier, "left").select(identifier, *[F.col(f"_c.{c}").alias(c) for c in rest])
+    return out.withColumn("record_type", type_of(F.col(subjects)))
+
+
 def instructions_for(volumes: DataFrame, instructions: list[tuple[list[str], int, str]], mode: str) -> DataFrame:
     """Every volume's instructions: those whose cases are all among mode, language and type (and state for
     transcription), by sequence. The instructions are a short list that travels as a literal."""
@@ -82,6 +91,12 @@ def in_order(left: DataFrame, right: DataFrame, on: list[str], group: str, order
     return left.join(right, on).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
+def with_prefix(items: DataFrame, key: str, chosen: DataFrame, prefix: str) -> DataFrame:
+    """Items whose key begins, up to its first dash, with one of the chosen prefixes, as texts."""
+    side = chosen.select(F.col(prefix).cast("string").alias("_p"))
+    return items.join(side, F.substring_index(F.col(key), "-", 1) == F.col("_p"), "left_semi")
+
+
 def unindexed(items: DataFrame, wanted: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Items that are wanted and not indexed yet."""
     return items.join(wanted.select(key), key, "left_semi").join(index.select(key), key, "left_anti")

@@ -1,6 +1,6 @@
 import pytest
 
-from libroflow.plans import extraction, reference, training
+from libroflow.plans import extraction, reference, sources, training
 from tests.oracle import DATA, connect, differences
 
 
@@ -25,6 +25,11 @@ def test_extraction_query(spark, con, name, tmp_path):
     assert differences(con, extraction.QUERIES[name](spark, DATA), extraction.ORACLES[name], str(tmp_path / name)) == (True, 0, 0)
 
 
+@pytest.mark.parametrize("name", sorted(sources.ORACLES))
+def test_source_query(spark, con, name, tmp_path):
+    assert differences(con, sources.QUERIES[name](spark, DATA), sources.ORACLES[name], str(tmp_path / name)) == (True, 0, 0)
+
+
 @pytest.mark.parametrize("name", sorted(set(reference.QUERIES) - set(reference.ORACLES)) + sorted(set(training.QUERIES) - set(training.ORACLES)))
 def test_query_runs(spark, name):
     q = (reference.QUERIES | training.QUERIES)[name]
