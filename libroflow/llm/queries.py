@@ -13,13 +13,20 @@ from libroflow.llm.leakage import leaks
 from libroflow.llm.packing import pack_all, token_counts
 from libroflow.llm.pages import line_kinds, repaired
 from libroflow.llm.variants import variant_people
-from libroflow.session import small, table
+from libroflow.session import cut, small, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_terms(table(spark, sf_dir, "person_mentions"), table(spark, sf_dir, "vocabulary"))
 
 
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that p1_found answers for, and whether each answer is a term of the field's list or none."""
+    terms = table(spark, sf_dir, "vocabulary").filter("vocab_key is not null").select(F.col("vocab_key").alias("_f"), F.explode("vocab").alias("_t")).distinct()
+    found = p1_found(spark, sf_dir).join(terms, (F.col("field") == F.col("_f")) & (F.col("term") == F.col("_t")), "left")
+    return found.select("mention_key", "field", "pos", (F.col("_t").isNotNull() | (F.col("term") == "")).alias("listed"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_people(table(spark, sf_dir, "person_mentions"))
 
@@ -58,6 +65,13 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_placed(spark, sf_dir), suffix="_country").distinct()
 
 
+def p10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many paragraphs of each document have a language, and whether all have it with a confidence."""
+    found = identify(_placed(spark, sf_dir), suffix="_country").distinct()
+    sure = F.col("confidence").between(0.0, 1.0) & F.col("doc_confidence").between(0.0, 1.0) & F.col("lang").isNotNull()
+    return found.groupBy("doc_id").agg(F.countDistinct("par_no").alias("paragraphs"), F.min(sure).alias("sure"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_kinds(table(spark, sf_dir, "entries"), table(spark, sf_dir, "volumes"))
 
@@ -73,13 +87,33 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_all(sizes, "doc_id", "n_tokens", table(spark, sf_dir, "pack_sizes")).withColumnRenamed("item", "doc_id")
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every document is whole in the containers of each capacity: all its tokens once and in order, in one piece
+    unless it is longer than the capacity, and in no container that is over it."""
+    sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc_id").alias("_d"), F.col("n_tokens").alias("size"))
+    packs = table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens").distinct()
+    placed = cut(p8_pack(spark, sf_dir))
+    full = placed.groupBy(F.col("container").alias("_c"), F.col("pack_id").alias("_k")).agg(F.sum("n_tokens").alias("held"))
+    own = placed.join(full, (F.col("container") == F.col("_c")) & (F.col("pack_id") == F.col("_k")))
+    docs = own.groupBy("pack_id", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("start_token").alias("starts"), F.max(F.col("start_token") + F.col("n_tokens")).alias("last"), F.max("held").alias("held"))
+    ok = (F.col("got") == F.col("size")) & (F.col("last") == F.col("size")) & (F.col("starts") == F.col("pieces")) & (F.col("pieces") == F.greatest(F.ceil(F.col("size") / F.col("capacity_tokens")), F.lit(1))) & (F.col("held") <= F.col("capacity_tokens"))
+    return docs.join(sizes, F.col("doc_id") == F.col("_d")).join(packs, "pack_id").select("pack_id", "doc_id", ok.alias("whole"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p5_found": p5_found, "p7_found": p7_found, "p7_text": p7_text, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p5_found": p5_found, "p7_found": p7_found, "p7_text": p7_text, "p8_pack": p8_pack, "p8_checks": p8_checks, "p9_found": p9_found, "p10_found": p10_found, "p10_languages": p10_languages, "p10_paragraphs": p10_paragraphs}
+
+_VALUES = " UNION ".join(f"SELECT mention_key, '{f}' AS field, 1 AS pos, {f} AS v FROM person_mentions" for f in ("occupation", "phenotype", "ethnicity"))
 
 ORACLES = {
+    "p1_values": f"""WITH v AS ({_VALUES} UNION SELECT mention_key, 'titles', i, titles[i] FROM (SELECT mention_key, titles, unnest(range(1, len(titles) + 1))::INT AS i FROM person_mentions)),
+        t AS (SELECT DISTINCT vocab_key AS field, unnest(vocab) AS v FROM vocabulary)
+        SELECT mention_key, field, pos::INT AS pos, true AS listed FROM v ANTI JOIN t USING (field, v) WHERE v IS NOT NULL AND mention_key IS NOT NULL""",
+    "p8_checks": "SELECT pack_id, doc_id, true AS whole FROM pack_sizes, (SELECT DISTINCT doc_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)",
+    "p10_paragraphs": "SELECT * FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: regexp_matches(x, '\\S'))) AS paragraphs, true AS sure FROM documents WHERE text IS NOT NULL) WHERE paragraphs > 0",
     "p5_found": """
         WITH RECURSIVE d AS (
             SELECT list_distinct(list_filter(list_concat(coalesce(left_ids, []), coalesce(right_ids, [])), lambda x: x IS NOT NULL)) AS ids
