@@ -171,16 +171,16 @@ def column_breaks(lines: DataFrame, image: str, at: str, density: str, multiplie
     return run.filter((F.col("_i") % 2 == 0) | F.col("_last")).select(image, at)
 
 
-def merged_strips(cuts: DataFrame, image: str, at: str, end: str, least: int = 10) -> DataFrame:
-    """Line strips between cuts: (image, top, bottom). A strip lower than `least` is merged into the one below it, so a cut
-    counts only if it is that far below the last one that did; a rest lower than `least` goes. A page's cuts are few."""
-    ordered = F.array_sort(F.collect_set(F.col(at).cast("bigint")))
-    held = cuts.groupBy(image).agg(ordered.alias("_c"), F.max(F.col(end).cast("bigint")).alias("_e"))
-    start = F.array(F.lit(0).cast("bigint"))
-    kept = F.aggregate("_c", start, lambda acc, c: F.when(c - F.element_at(acc, -1) >= least, F.concat(acc, F.array(c))).otherwise(acc))
-    whole = held.withColumn("_k", kept).withColumn("_k", F.when(F.col("_e") - F.element_at("_k", -1) >= least, F.concat("_k", F.array("_e"))).otherwise(F.col("_k")))
-    parts = F.transform(F.sequence(F.lit(1), F.size("_k") - 1), lambda i: F.struct(F.element_at("_k", i).alias("top"), F.element_at("_k", i + 1).alias("bottom")))
-    return whole.filter(F.size("_k") > 1).select(image, F.explode(parts).alias("p")).select(image, "p.top", "p.bottom")
+def line_strips(cuts: DataFrame, image: str, at: str, end: str, least: int = 10) -> DataFrame:
+    """Strips of lines between the cuts, from the top of the image: (image, top, bottom). Strips lower than `least` go; the
+    rest below the last cut stays if it is that high, unless the strip above it went."""
+    w = Window.partitionBy(image).orderBy("_c")
+    once = cuts.groupBy(image, F.col(at).cast("bigint").alias("_c")).agg(F.max(F.col(end).cast("bigint")).alias("_e"))
+    strip = once.withColumn("_t", F.coalesce(F.lag("_c").over(w), F.lit(0).cast("bigint"))).withColumn("_last", F.lead("_c").over(w).isNull()).withColumn("_e", F.max("_e").over(Window.partitionBy(image)))
+    high = strip.filter(F.col("_c") - F.col("_t") >= least)
+    own = F.struct(F.col("_t").alias("top"), F.col("_c").alias("bottom"))
+    rest = F.when(F.col("_last") & (F.col("_e") - F.col("_c") >= least), F.struct(F.col("_c").alias("top"), F.col("_e").alias("bottom")))
+    return high.select(image, F.explode(F.array_compact(F.array(own, rest))).alias("p")).select(image, "p.top", "p.bottom")
 
 
 def row_sums(pixels: DataFrame, image: str, y: str, value: str) -> DataFrame:

@@ -543,12 +543,11 @@ def column_breaks(spark, sf_dir):
     return layout.column_breaks(lines, "image", "top", "density", 1.5, 0.5)
 
 
-@query(f"""WITH {_BOXES}, c AS (SELECT image, list_sort(list(DISTINCT top)) AS cuts, max(bottom) AS e FROM boxes GROUP BY 1),
-    k AS (SELECT image, e, list_reduce(list_prepend([0::BIGINT], list_transform(cuts, lambda c: [c])), lambda a, c: CASE WHEN c[1] - a[len(a)] >= 40 THEN list_concat(a, c) ELSE a END) AS k FROM c),
-    w AS (SELECT image, CASE WHEN e - k[len(k)] >= 40 THEN list_append(k, e) ELSE k END AS k FROM k)
-    SELECT image, k[i] AS top, k[i + 1] AS bottom FROM (SELECT image, k, unnest(range(1, len(k))) AS i FROM w)""")
-def merged_strips(spark, sf_dir):
-    return layout.merged_strips(_boxes(spark, sf_dir), "image", "top", "bottom", 40)
+@query(f"""WITH {_BOXES}, c AS (SELECT DISTINCT image, top AS c, max(bottom) OVER (PARTITION BY image) AS e FROM boxes),
+    s AS (SELECT image, coalesce(lag(c) OVER w, 0) AS t, c, e, lead(c) OVER w IS NULL AS last FROM c WINDOW w AS (PARTITION BY image ORDER BY c)), h AS (SELECT * FROM s WHERE c - t >= 40)
+    SELECT image, t AS top, c AS bottom FROM h UNION ALL SELECT image, c, e FROM h WHERE last AND e - c >= 40""")
+def line_strips(spark, sf_dir):
+    return layout.line_strips(_boxes(spark, sf_dir), "image", "top", "bottom", 40)
 
 
 @query(f"""WITH {_BOXES}, a AS (SELECT * FROM boxes WHERE box_id % 2 = 1), b AS (SELECT * FROM boxes WHERE box_id % 2 = 0), s AS (SELECT a.image, sum({_IOU}) AS shared FROM a JOIN b ON a.image = b.image GROUP BY 1),
