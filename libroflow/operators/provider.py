@@ -35,19 +35,20 @@ def replay(requests: DataFrame, stored: DataFrame, messages: str = "messages", o
 
 
 def answered(requests: DataFrame, key: str, provider: Callable[[list[list[dict]]], list[str | None]], messages: str = "messages") -> DataFrame:
-    """(key, answer) from a provider that answers lists of conversations; what it fails on is null."""
+    """(key, answer, error) from a provider that answers lists of conversations; where it fails the answer is null, as in the
+    pipeline this follows, and the error says why."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             chats = [[{"role": m["role"], "content": m["content"]} for m in x] for x in pdf[messages]]
             try:
-                answers = provider(chats)
-            except Exception:  # a failed call is no answer, as in the pipeline this follows
-                answers = [None] * len(chats)
-            yield pd.DataFrame({key: pdf[key], "answer": answers})
+                answers, error = provider(chats), None
+            except Exception as e:  # whatever a provider raises
+                answers, error = [None] * len(chats), f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({key: pdf[key], "answer": answers, "error": error})
 
     kind = dict(requests.dtypes)[key]
-    return requests.select(key, messages).mapInPandas(run, f"{key} {kind}, answer string")
+    return requests.select(key, messages).mapInPandas(run, f"{key} {kind}, answer string, error string")
 
 
 def fine_tuning_records(df: DataFrame, instructions: Column, question: Column, answer: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The whole path from extracted entries to volume-level people, relationships and events, as one plan."""
+"""The whole path from transcribed entries to volume-level people, relationships and events."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from libroflow.functions.text import pad
+from libroflow.operators import provider, stages
 from libroflow.operators.entity import numbered, qualified
+from libroflow.operators.drift import approved_paths
 from libroflow.operators.repair import INVERSE
+from libroflow.operators.shred import shred
+from libroflow.session import cut
 
 
 def volume_people(people: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -45,3 +49,26 @@ def volume_events(events: DataFrame, people: DataFrame, most: int = 2, extra: li
     gathered = lambda role: F.transform(F.array_sort(F.collect_list(F.when((F.col("role") == role) & F.col("who").isNotNull(), F.struct("place", "who")))), lambda s: s["who"])
     out = named.groupBy("volume_id", "entry_id", *extra, "event_pos", "type", "date").agg(gathered("principal").alias("principals"), gathered("witness").alias("witnesses"))
     return out.withColumn("event_id", F.concat("entry_id", F.lit("-E"), pad(F.col("event_pos"), 2)))
+
+
+def extracted(entries: DataFrame, volumes: DataFrame, instructions: list[tuple[list[str], int, str]], stored: DataFrame, kinds: dict[str, str], examples: DataFrame | None = None, text: str = "normalized") -> dict[str, DataFrame]:
+    """The extraction stage as one chain: the entries' requests, the answers stored for them, those rejected, the log of what
+    is wrong in the rest, and the people, relationships and events that pass.
+
+    entries: entry_key, volume_id and the text; stored: request and answer (see `provider.replay`); kinds: the agreed
+    layout of a volume's record, in which an answer is the data of one entry.
+    """
+    asked = stages.requests(entries.filter(F.col(text).isNotNull()), volumes, instructions, "extraction", F.col(text), examples)
+    answers = cut(provider.replay(asked, stored).select("entry_key", "volume_id", "answer"))
+    rejected = stages.rejected(answers.filter("answer is not null"), "answer")
+    good = answers.join(rejected.select("entry_key"), "entry_key", "left_anti").filter("answer is not null")
+    body = good.select("entry_key", F.concat(F.lit('{"entries":[{"data":'), "answer", F.lit("}]}")).alias("body"))
+    nodes = cut(shred(body, "entry_key", "body", kinds, approved_paths()))
+    wrong = cut(stages.problems(nodes, "entry_key"))
+    at = ["entry_key", "pos", "sub_pos"]
+    bad = wrong.filter("kind = 'relationship'").select(*at).distinct()
+    relations = stages.entity(nodes, "entry_key", stages.RELATIONS, ["related_person", "relationship_type"]).select("entry_key", F.col("pos_path")[1].alias("pos"), F.col("pos_path")[2].alias("sub_pos"), "related_person", "relationship_type")
+    return {
+        "requests": asked, "answers": answers, "rejected": rejected, "problems": wrong, "failures": stages.failed_entries(wrong, "entry_key"),
+        "people": stages.filled_people(nodes, "entry_key"), "events": stages.filled_events(nodes, "entry_key").filter("kept").drop("kept"), "relationships": relations.join(bad, at, "left_anti"),
+    }

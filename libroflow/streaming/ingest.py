@@ -1,7 +1,8 @@
-"""Continuous ingestion: new volume files pass through the same functions, batch by batch."""
+"""Continuous ingestion: new volume files pass through the same functions, batch by batch; and one request at a time."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,11 @@ def entries_stream(spark: SparkSession, path: str, out: str, checkpoint: str, tr
         transform(entries_of(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return volume_stream(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def handled(event: dict, process: Callable[[str], object]) -> dict:
+    """One request: its body is processed and the result comes back with status 200; without a body the status is 400."""
+    body = event.get("body")
+    if not body:
+        return {"statusCode": 400, "body": json.dumps({"error": "no body"})}
+    return {"statusCode": 200, "body": json.dumps(process(body), ensure_ascii=False)}
