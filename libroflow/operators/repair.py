@@ -100,9 +100,13 @@ def stitched(entries: DataFrame, volume: str, order: list[str], verdict: str, ra
     return entries.withColumn("_joined", joined).filter(F.coalesce(F.col(verdict) != "end", F.lit(True))).withColumn(raw, F.col("_joined")).drop("_joined", "_verdict", "_raw")
 
 
-def back_filled(df: DataFrame, group: str, order: list[str], date: str, out: str, kind: str | None = None, whole: str = r"^\d{4}-\d{2}-\d{2}$") -> DataFrame:
-    """Undated rows between two dated ones get the range `last/next`. Only whole dates are carried; where `kind` names the
-    column of the event's type, births stay undated."""
-    near = nearest_known(df.withColumn("_whole", F.when(F.col(date).rlike(whole), F.col(date))), group, order, "_whole", "_last", "_next")
+WHOLE_DATE = r"^\d{4}-\d{2}-\d{2}$"
+
+
+def back_filled(df: DataFrame, group: str, order: list[str], date: str, out: str, kind: str | None = None, whole: str | None = None) -> DataFrame:
+    """Undated rows between two dated ones get the range `last/next`. Where a pattern `whole` is given, only dates that fit
+    it are carried; where `kind` names the column of the event's type, births stay undated."""
+    carried = F.col(date) if whole is None else F.when(F.col(date).rlike(whole), F.col(date))
+    near = nearest_known(df.withColumn("_whole", carried), group, order, "_whole", "_last", "_next")
     may = F.lit(True) if kind is None else F.coalesce(F.col(kind) != "birth", F.lit(True))
     return near.withColumn(out, F.coalesce(F.col(date), F.when(may, F.concat("_last", F.lit("/"), "_next")))).drop("_whole", "_last", "_next")

@@ -153,4 +153,4 @@ def event_dates(spark, sf_dir):
     """Undated events between whole dates get their range, births excepted (here those of one type)."""
     day = F.when(F.col("value") > 50, F.date_format("ts", "yyyy-MM-dd")).when(F.col("value") > 25, F.date_format("ts", "yyyy-MM"))
     e = table(spark, sf_dir, "events").select("event_id", "user_id", day.alias("day"), F.when(F.col("event_type") == "click", "birth").otherwise(F.col("event_type")).alias("kind")).distinct()
-    return repair.back_filled(e, "user_id", ["event_id"], "day", "filled", "kind").select("event_id", "filled")
+    return repair.back_filled(e, "user_id", ["event_id"], "day", "filled", "kind", repair.WHOLE_DATE).select("event_id", "filled")
