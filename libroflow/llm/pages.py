@@ -230,13 +230,13 @@ class Speller:
             hit = self.tokens[token] = (plain, Page._dress(token, reading) if places else token, bool(places))
         return hit
 
-    def piece(self, text: str) -> tuple[float, str, tuple[int, ...]] | None:
+    def piece(self, text: str, noisy: bool = True) -> tuple[float, str, tuple[int, ...]] | None:
         """The reading of a part of a token, None if it is no known word. Letters are read through confusions only where
-        a sign or digit stands."""
+        a sign or digit stands (`noisy`: one may)."""
         n = max(self.counts.get(text, 0), self.counts.get(text.lower(), 0))
         if n:
             return math.log(self.total / n), text, ()
-        if any(c in SIGNS or c in "0!(1569" for c in text):
+        if noisy and any(c in SIGNS or c in "0!(1569" for c in text):
             cost, reading, places, known = self.read(text)
             if known and places:
                 return cost, reading, places
@@ -252,6 +252,11 @@ def _mergeable(tok: str, nxt: str, joint: str) -> bool:
     return not (tok[-1] in ".,;:)" or nxt[:1].isupper() and not tok.isupper() or not nxt[:1].isalnum() and nxt[:1] not in SIGNS and nxt[:1] not in "!(")
 
 
+def _run(first: str, last: str) -> str:
+    """Two tokens as one, without outer marks."""
+    return (first.lstrip(_EDGE.replace("(", "")) if first[:1] != "(" else first[1:]) + last.rstrip(_EDGE)
+
+
 def decode(tokens: tuple[str, ...], joints: tuple[str, ...], tail: str, speller: Speller) -> list[tuple[str, int, int, list[int], list[int]]]:
     """Words of an island, (text, first token, last token, tokens with misread letters, tokens broken at a line end), by
     dynamic programming over its characters. joints: the breaks between its tokens, all of which a word may run over;
@@ -262,6 +267,7 @@ def decode(tokens: tuple[str, ...], joints: tuple[str, ...], tail: str, speller:
     lead = [t.find(c) if c else 0 for t, c in zip(tokens, cores)]
     # tokens that stand for no word can be split between any two letters
     inner = [range(1, len(c)) if 3 <= len(c) <= LONGEST and all(x.isalnum() or x in SIGNS for x in c) and not c.isdigit() and not speller.read(c)[3] else () for c in cores]
+    noisy = any(x in SIGNS or x in "0!(1569" for t in tokens for x in t)
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
 
     def offer(to: tuple[int, int], cost: float, arc: tuple) -> None:
@@ -283,14 +289,19 @@ def decode(tokens: tuple[str, ...], joints: tuple[str, ...], tail: str, speller:
                     cost, reading, places, known = speller.read(text.rstrip(_EDGE))
                     found = (cost, reading, places) if known or all(x == "hyphen" for x in joints[k:j]) else None
                 else:
-                    found = speller.piece(text.rstrip(_EDGE))
+                    found = speller.piece(text.rstrip(_EDGE), noisy)
                 if found:
                     offer((j + 1, 0), here + found[0] + joined + (ALONE if follows == "hyphen" else 0.0), ((k, off), found[1], found[2]))
                 # into token j
                 before = text[: len(text) - len(tokens[j])] if j > k else ""
                 for end in inner[j]:
-                    if (j > k or end > off) and (found := speller.piece(before + (cores[j][:end] if j > k else cores[j][off:end]))):
+                    if j == k and end <= off:
+                        continue
+                    part = before + (cores[j][:end] if j > k else cores[j][off:end])
+                    if found := speller.piece(part, noisy):
                         offer((j, end), here + found[0] + joined + SPLIT, ((k, off), found[1], found[2]))
+                    elif not noisy and not speller.begins(part.lower()):
+                        break  # no known word goes on from here
                 if j == n - 1 or len(text) > LONGEST:
                     break
                 joined += JOIN[joints[j]]
@@ -372,6 +383,9 @@ class Page:
                 if alone[k][2]:
                     self.found.add((lines[k] + 1, "misread"))
                 self.words.append((alone[k][1], lines[k], lines[k]))
+            elif k == start + 1 and joints[start] == "line" and plain[start] and plain[k] and joints[k] != "hyphen" and not alone[start][2] and not alone[k][2] and not speller.read(_run(tokens[start], tokens[k]))[3]:
+                # two words on either side of a line end that are none together
+                self.words += [(alone[x][1], lines[x], lines[x]) for x in (start, k)]
             else:
                 self._island(tuple(tokens[start : k + 1]), tuple(joints[start:k]), joints[k] if k < n - 1 else "", lines[start : k + 1], speller)
             start = k + 1
