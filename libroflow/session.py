@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it; needed where it is not installed there. The
+    packages it needs (pyproject.toml) must be."""
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="libroflow-ship-")  # the driver's own: Spark copies the file to each executor
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/libroflow", "zip", root.parent, root.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
