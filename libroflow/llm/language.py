@@ -127,25 +127,19 @@ class Model:
             out.append(i)
         return out
 
-    def likelihoods(self, groups: list[list[bytes]]) -> np.ndarray:
-        """One row per group of words."""
+    def scores(self, groups: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """One row of log-likelihoods per group of words, and whether hardly any word of the group is known."""
         sizes = np.array([len(g) for g in groups])
-        flat = self.ids([w for g in groups for w in g])
-        out = np.zeros((len(groups), self.matrix.shape[1]))
-        if flat:
-            full, starts = self._starts(sizes)
-            out[full] = np.add.reduceat(self.matrix[np.array(flat)], starts, axis=0)
-        return out
-
-    def foreign(self, groups: list[list[bytes]]) -> np.ndarray:
-        """Whether hardly any word of a group is known."""
-        sizes = np.array([len(g) for g in groups])
-        out = np.zeros(len(groups))
-        flat = np.array([w in self.word for g in groups for w in g], dtype=np.float64)
+        flat = np.array(self.ids([w for g in groups for w in g]), dtype=np.int64)
+        out, known = np.zeros((len(groups), self.matrix.shape[1])), np.zeros(len(groups))
         if len(flat):
             full, starts = self._starts(sizes)
-            out[full] = np.add.reduceat(flat, starts)
-        return (sizes >= LEAST) & (out < KNOWN * sizes)
+            out[full] = np.add.reduceat(self.matrix[flat], starts, axis=0)
+            known[full] = np.add.reduceat(((flat > 0) & (flat <= len(self.word))).astype(np.float64), starts)
+        return out, (sizes >= LEAST) & (known < KNOWN * sizes)
+
+    def likelihoods(self, groups: list[list[bytes]]) -> np.ndarray:
+        return self.scores(groups)[0]
 
     @staticmethod
     def _starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +190,7 @@ def _score(model: Model):
                     groups += [words_of(p) for p in pars]
             if not docs:
                 continue
-            ll, odd = model.likelihoods(groups), model.foreign(groups)
+            ll, odd = model.scores(groups)
             at, out_ll, top, out_odd = 0, [], [], []
             for _, n in docs:
                 part = ll[at : at + n]
