@@ -5,7 +5,7 @@ nesting becomes a flat table. `entity` joins object nodes with their scalar chil
 `entry_links` resolves the references between entries, people and events.
 
 Defined edge cases: a body without a key is left out; a null, blank or unparsable body gives no node except one of kind `invalid` for text that is
-not JSON; empty objects and arrays give their own node only; a repeated key keeps its last value; repeated
+not JSON or nested beyond what the parser takes; empty objects and arrays give their own node only; a repeated key keeps its last value; repeated
 input rows give repeated nodes under the same key (results that promise distinct rows are made distinct).
 Columns of the input other than key and body are not read.
 """
@@ -74,7 +74,7 @@ def _settle(kids: list[list], kinds: dict[str, str], order: dict[str, int]) -> N
 def _walk(key, body, kinds, aliases, order, nests, only, out) -> None:
     try:
         root = json.loads(body)
-    except ValueError:
+    except (ValueError, RecursionError):
         out.append((key, 0, None, None, 1, "", "", [], "invalid", body, body))
         return
     # (value, parent node, label, ordinal, path, canonical path, positions, is array element)
@@ -170,7 +170,7 @@ def members(df: DataFrame, key: str, body: str) -> DataFrame:
             for k, text in zip(b.column(0).to_pylist(), b.column(1)):
                 try:
                     stack = [("", json.loads(text.as_py()))]
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
                 seen: set[tuple[str, str]] = set()
                 while stack:

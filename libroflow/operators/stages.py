@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from libroflow.operators.provider import conversations, message
 from libroflow.operators.repair import INVERSE, PRINCIPALS, valid_json
@@ -38,16 +39,13 @@ def requests(entries: DataFrame, volumes: DataFrame, instructions: list[tuple[li
     if examples is None:
         asked = entries.join(told, "volume_id").withColumn("examples", none)
     else:
-        first = examples.filter("record_type is not null").select("record_type", F.struct("example_key", "raw", "answer").alias("e"))
-        # a bounded list per record type: only the first keys leave the tasks
-        held = first.groupBy("record_type").agg(F.slice(F.array_sort(F.collect_set("e")), 1, shots).alias("examples")) if shots > 50 else _first_few(first, shots)
+        held = _first_few(examples.filter("record_type is not null").select("record_type", F.struct("example_key", "raw", "answer").alias("e")), shots)
         asked = entries.join(told, "volume_id").join(held, "record_type", "left").withColumn("examples", F.coalesce(F.transform("examples", lambda e: F.struct(e["raw"].alias("raw"), e["answer"].alias("answer"))), none))
     return conversations(asked, F.col("instructions"), F.col("examples"), question)
 
 
 def _first_few(rows: DataFrame, shots: int) -> DataFrame:
-    from pyspark.sql.window import Window
-
+    """The first rows of each record type; each task leaves out what can't be among them before anything is shuffled."""
     rank = F.row_number().over(Window.partitionBy("record_type").orderBy("e"))
     return rows.withColumn("_n", rank).filter(F.col("_n") <= shots).groupBy("record_type").agg(F.array_sort(F.collect_list("e")).alias("examples"))
 

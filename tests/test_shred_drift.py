@@ -129,3 +129,13 @@ def test_inner_values(spark):
         ("person", 1, "titles", "", "1", "Don"), ("person", 1, "titles", "", "2", "Fray"), ("person", 1, "occupation", "", "1", "smith"), ("person", 1, "occupation", "", "2", "scribe"),
         ("person", 1, "relationships", "note", "1", "x"), ("person", 2, "titles", "", "1", "Doña"), ("event", 1, "date", "year", "", "1700"), ("event", 1, "date", "day.n", "", "3"), ("event", 1, "principals", "", "1", "P01"),
     ])
+
+
+def test_odd_bodies(spark):
+    """Bodies that are no objects, are nested very deeply or are very long."""
+    deep, long = "[" * 200_000 + "]" * 200_000, {"id": 1, "title": "x" * 300_000, "entries": []}
+    rows = [(1, "5"), (2, "null"), (3, '"text"'), (4, deep), (5, long), (6, "[]")]
+    nodes = shred(files(spark, rows), "file_id", "body", KINDS, approved_paths())
+    assert {r.file_id: r.kind for r in nodes.filter("parent is null").collect()} == {1: "number", 2: "null", 3: "string", 4: "invalid", 5: "object", 6: "array"}
+    _, report, _ = ingest(files(spark, rows), "file_id", "body", catalogue(spark))
+    assert {r.file_id for r in report.collect()} == {5} and conform(nodes, "file_id", "", KINDS).count() == 1
