@@ -57,8 +57,10 @@ def sparse_to_other(boxes: DataFrame, image: str, tiles: int = 10, least: int =
     tw, th = (F.max("right").over(w) - x0) / float(tiles), (F.max("bottom").over(w) - y0) / float(tiles)
     placed = text.withColumn("x0", x0).withColumn("y0", y0).withColumn("tw", tw).withColumn("th", th).filter("tw > 0 and th > 0")
     # a tile counts where the shared area is positive, so a box that only touches it does not
-    span = lambda lo, hi, o, t: F.filter(F.sequence(F.floor((F.col(lo) - F.col(o)) / F.col(t)), F.floor((F.col(hi) - F.col(o)) / F.col(t))), lambda k: (k >= 0) & (k < tiles) & (F.least(F.col(hi) - F.col(o), (k + 1) * F.col(t)) > F.greatest(F.col(lo) - F.col(o), k * F.col(t))))
-    cells = placed.withColumn("tx", F.explode(span("left", "right", "x0", "tw"))).withColumn("ty", F.explode(span("top", "bottom", "y0", "th"))).select(image, "box_id", "tx", "ty")
+    span = lambda lo, hi, o, t: F.sequence(F.greatest(F.floor((F.col(lo) - F.col(o)) / F.col(t)), F.lit(0)), F.least(F.floor((F.col(hi) - F.col(o)) / F.col(t)), F.lit(tiles - 1)))
+    shares = lambda k, lo, hi, o, t: F.least(F.col(hi) - F.col(o), (F.col(k) + 1) * F.col(t)) > F.greatest(F.col(lo) - F.col(o), F.col(k) * F.col(t))
+    across = placed.withColumn("tx", F.explode(span("left", "right", "x0", "tw"))).filter(shares("tx", "left", "right", "x0", "tw"))
+    cells = across.withColumn("ty", F.explode(span("top", "bottom", "y0", "th"))).filter(shares("ty", "top", "bottom", "y0", "th")).select(image, "box_id", "tx", "ty")
     count = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(image, "tx", "ty")))
     low = count.filter(F.col("n") < least).select(F.col(image).alias("_i"), F.col("box_id").alias("_b")).distinct()
     return boxes.join(low, (F.col(image) == F.col("_i")) & (F.col("box_id") == F.col("_b")), "left").withColumn("label", F.when(F.col("_b").isNotNull(), "other").otherwise(F.col("label"))).drop("_i", "_b")
