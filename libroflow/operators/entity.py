@@ -45,6 +45,15 @@ def remapped(df: DataFrame, scope: str, ref: str, ids: DataFrame, old: str, new:
     return df.join(side, (F.col(scope) == F.col("_s")) & (F.col(ref) == F.col("_o")), "left").withColumn(ref, F.coalesce("_n", ref)).drop("_s", "_o", "_n")
 
 
+def picked(key: Column, terms: list[str], seed: str = "", none: str = "N/A") -> Column:
+    """One of the terms for each key, by a hash of seed and key; `none` where there are no terms. The list travels as a
+    literal."""
+    if not terms:
+        return F.lit(none)
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 8), 16, 10).cast("bigint") % len(terms)
+    return F.element_at(F.array(*[F.lit(t) for t in terms]), (place + 1).cast("int"))
+
+
 def event_ids(entry: Column, events: Column) -> Column:
     """Ids `entry-E00` by place."""
     return F.transform(events, lambda _, i: F.concat(entry, F.lit("-E"), pad(i, 2)))

@@ -51,6 +51,11 @@ def answered(requests: DataFrame, key: str, provider: Callable[[list[list[dict]]
     return requests.select(key, messages).mapInPandas(run, f"{key} {kind}, answer string, error string")
 
 
+def rgb_url(url: Column) -> Column:
+    """The address of an image's colour copy: `-rgb.jpg` in place of the file's extension."""
+    return F.concat(F.regexp_replace(url, r"\.[^./]*$", ""), F.lit("-rgb.jpg"))
+
+
 def fine_tuning_records(df: DataFrame, instructions: Column, question: Column, answer: Column) -> DataFrame:
     """One JSON line per example, as fine-tuning expects it."""
     chat = F.concat(F.transform(instructions, lambda x: message("system", x)), F.array(message("user", question), message("assistant", answer)))

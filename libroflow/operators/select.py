@@ -36,6 +36,13 @@ def capped(df: DataFrame, key: str, most: int, seed: str = "0") -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(most)
 
 
+def line_examples(images: DataFrame, volumes: DataFrame, keywords: dict[str, object] | None, mode: str = "or", colour: str | None = None, most: int = 10, seed: str = "0") -> DataFrame:
+    """Transcribed images (image_id, volume_id, colour) of the volumes that match, of one colour if it is given, and at most
+    `most` of them (a sampling operator)."""
+    kept = images.join(matching(volumes, keywords, mode).select("volume_id").distinct(), "volume_id", "left_semi")
+    return capped(kept if colour is None else kept.filter(F.col("colour") == colour), "image_id", most, seed)
+
+
 def language_of(country: Column) -> Column:
     return F.when(country.isin(SPANISH), "Spanish").otherwise("Portuguese")
 

@@ -349,13 +349,38 @@ def vocab_conformance(spark, sf_dir):
     SELECT mention_id, vocab[(('0x' || substr(md5(mention_id), 1, 8))::BIGINT % len(vocab)) + 1] AS term FROM m, v""")
 def vocabulary_pick(spark, sf_dir):
     """A term for every mention, picked by a hash of its id; the list travels as a literal of checked size."""
-    from libroflow.session import small
+    from libroflow.session import bounded
 
-    rows = small(table(spark, sf_dir, "vocabulary").filter(F.col("vocab_key") == "titles").select(F.explode("vocab").alias("t")), 10_000) or []
-    terms = F.array(*[F.lit(r[0]) for r in rows])
+    rows = bounded(table(spark, sf_dir, "vocabulary").filter(F.col("vocab_key") == "titles").select(F.explode("vocab").alias("t")), "terms", 10_000)
     m = table(spark, sf_dir, "person_mentions").select("mention_id", "titles").distinct()
-    place = F.conv(F.substring(F.md5("mention_id"), 1, 8), 16, 10).cast("bigint") % len(rows)
-    return m.select("mention_id", F.get(terms, place.cast("int")).alias("term"))
+    return m.select("mention_id", entity.picked(F.col("mention_id"), [r[0] for r in rows]).alias("term"))
+
+
+_FIRST_NAMES, _LAST_NAMES = ["Ana", "Juan", "Luisa", "Mateo", "Rosa"], ["Alba", "Cruz", "Luna"]
+
+
+@query(f"""WITH m AS (SELECT DISTINCT mention_id FROM person_mentions)
+    SELECT mention_id, {_FIRST_NAMES}[(('0x' || substr(md5('f' || mention_id), 1, 8))::BIGINT % 5) + 1] || ' ' || {_LAST_NAMES}[(('0x' || substr(md5('l' || mention_id), 1, 8))::BIGINT % 3) + 1] AS name, 'N/A' AS rank_title FROM m""")
+def synthetic_people(spark, sf_dir):
+    """Invented names by a hash of the id; a field without a list has none."""
+    m, key = table(spark, sf_dir, "person_mentions").select("mention_id").distinct(), F.col("mention_id")
+    return m.select("mention_id", F.concat_ws(" ", entity.picked(key, _FIRST_NAMES, "f"), entity.picked(key, _LAST_NAMES, "l")).alias("name"), entity.picked(key, []).alias("rank_title"))
+
+
+@query("""WITH e AS (SELECT DISTINCT entry_key, entry_id, volume_id, CASE entry_key % 3 WHEN 0 THEN 'gray' ELSE 'bin' END AS colour FROM entries)
+    SELECT entry_key AS image_id, entry_id, colour FROM e SEMI JOIN (SELECT volume_id FROM volumes WHERE record_type = 'baptism' OR country = 'Cuba') USING (volume_id) WHERE colour = 'gray' ORDER BY md5('3' || entry_key::VARCHAR), entry_key LIMIT 10""")
+def line_examples(spark, sf_dir):
+    """Ten images of one colour of the matching volumes."""
+    e = table(spark, sf_dir, "entries").select(F.col("entry_key").alias("image_id"), "entry_id", "volume_id", F.when(F.col("entry_key") % 3 == 0, "gray").otherwise("bin").alias("colour")).distinct()
+    return select.line_examples(e, table(spark, sf_dir, "volumes"), {"record_type": "baptism", "country": "Cuba"}, "or", "gray", 10, "3").select("image_id", "entry_id", "colour")
+
+
+@query("""SELECT DISTINCT entry_id, 'https://images.example/' || entry_id || '-color-rgb.jpg' AS url FROM entries WHERE entry_id IS NOT NULL""")
+def rgb_urls(spark, sf_dir):
+    from libroflow.operators.provider import rgb_url
+
+    e = table(spark, sf_dir, "entries").filter("entry_id is not null").select("entry_id").distinct()
+    return e.select("entry_id", rgb_url(text.image_url("images.example", F.col("entry_id"))).alias("url"))
 
 
 # -- evaluation ------------------------------------------------------------------------------------------------------
