@@ -27,7 +27,7 @@ def query(sql: str):
 
 def _written(spark: SparkSession, sf_dir: str, head, begin: str, end: str, per_image: bool) -> DataFrame:
     """Entries as the lines of a file: one per image, or one per volume with its images in order."""
-    e = table(spark, sf_dir, "entries").filter("raw is not null and volume_id is not null").select("entry_key", "volume_id", text.before_dash(F.col("entry_id")).cast("int").alias("image"), F.regexp_replace("raw", r"[^a-z \n-]", "").alias("raw")).distinct()
+    e = table(spark, sf_dir, "entries").filter("raw is not null and volume_id is not null").select("entry_key", "volume_id", text.before_dash(F.col("entry_id")).cast("int").alias("image"), F.regexp_replace("raw", r"[^a-z \n-]", "").alias("raw")).repartition("volume_id", "image").distinct()
     source = F.concat_ws("/", F.col("volume_id").cast("string"), F.col("image").cast("string")) if per_image else F.col("volume_id").cast("string")
     n = F.row_number().over(Window.partitionBy("volume_id", "image").orderBy("entry_key"))
     rows = e.withColumn("n", n).withColumn("head", F.when(F.col("n") == 1, F.array(head)).otherwise(F.array().cast("array<string>")))
@@ -46,7 +46,8 @@ _RAW = r"""e AS (SELECT DISTINCT entry_key, volume_id, split_part(entry_id, '-',
 @query(f"""WITH {_RAW} SELECT volume_id::VARCHAR || '/' || image::VARCHAR AS source, image::VARCHAR || '-' || row_number() OVER (PARTITION BY volume_id, image ORDER BY n)::VARCHAR AS entry_id, raw FROM t""")
 def bound_parse(spark, sf_dir):
     """Entries written in the dialect of `IMG` lines, and parsed again."""
-    ids = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("-"), i.cast("string"))), "_")
+    entries = F.count(F.lit(1)).over(Window.partitionBy("volume_id", "image"))  # as many ids as the image has entries
+    ids = F.array_join(F.transform(F.sequence(F.lit(1), entries.cast("int")), lambda i: F.concat(F.lit("-"), i.cast("string"))), "_")
     lines = _written(spark, sf_dir, F.concat(F.lit("IMG_a_b_"), F.col("image").cast("string"), F.lit("_"), ids), "{left margin", "{rubric", True)
     return registers.parse_bound(lines).select("source", "entry_id", "raw")
 

@@ -79,22 +79,31 @@ def parse_markup(lines: DataFrame) -> DataFrame:
 
 def parse_bound(lines: DataFrame) -> DataFrame:
     """Entries of the dialect with `IMG` lines (image and entry ids joined by underscores) and entries between
-    `{left margin` and `{rubric` lines."""
+    `{left margin` and `{rubric` lines.
+
+    Lines know the number of their `IMG` line only; it is met with its entries when they are whole, in place.
+    """
     _, upto, before = _window()
     t = lines.filter(F.length("line") >= 1).withColumn("line", F.regexp_replace("line", r"ILL|[()\[\]*^]", ""))
     has = F.col("line").contains
     t = t.withColumn("kind", F.when(has("{left margin"), "open").when(has("{rubric"), "close").when(has("IMG"), "image").otherwise("text"))
     t = t.withColumn("in_entry", _toggle(F.col("kind") == "open", F.col("kind") == "close", upto)).withColumn("was_in", F.coalesce(F.lag("in_entry").over(Window.partitionBy("source").orderBy("line_no")), F.lit(False)))
-    ids = F.split(F.regexp_replace("line", r"\s", ""), "_")
-    t = t.withColumn("ids", F.last(F.when(F.col("kind") == "image", ids), True).over(upto)).withColumn("img", F.sum((F.col("kind") == "image").cast("int")).over(upto))
+    t = t.withColumn("img", F.sum((F.col("kind") == "image").cast("int")).over(upto))
     t = t.withColumn("done", (F.col("kind") == "close") & F.col("was_in")).withColumn("part", F.coalesce(F.sum(F.col("done").cast("int")).over(before), F.lit(0)))
-    first = t.filter((F.col("kind") == "open")).groupBy("source", "part").agg(F.min_by(F.struct("ids", "img"), "line_no").alias("begun"))
-    texts = _joined(t.filter((F.col("kind") == "text") & F.col("in_entry")), ["source", "part"])
-    ends = t.filter("done").select("source", "part", "img").join(first, ["source", "part"]).join(texts, ["source", "part"])
-    # the entry's place among those that ended on its last image; one begun on an image before takes the next id there
-    place = F.row_number().over(Window.partitionBy("source", "begun.img").orderBy("part")) - 1
-    ends = ends.withColumn("place", place)
-    return ends.select("source", F.col("part").alias("pos"), F.concat(F.get("begun.ids", F.lit(3)), F.coalesce(F.get("begun.ids", (F.col("place") + 4).cast("int")), F.lit(""))).alias("entry_id"), "raw")
+    # one group for each `IMG` line (no part) and each entry, all of the partitions that the files are in
+    image, kept = F.col("kind") == "image", (F.col("kind") == "text") & F.col("in_entry")
+    t = t.withColumn("at", F.when(image, F.col("img"))).withColumn("part", F.when(~image, F.col("part")))
+    each = t.groupBy("source", "at", "part").agg(
+        F.max(F.when(image, F.col("line"))).alias("head"), F.min_by("img", F.when(F.col("kind") == "open", F.col("line_no"))).alias("begun"),
+        F.max("done").alias("done"), F.array_sort(F.collect_list(F.when(kept, F.struct("line_no", "line")))).alias("_l"),
+    )
+    each = each.filter(F.col("part").isNull() | (F.col("done") & F.col("begun").isNotNull() & (F.size("_l") > 0))).withColumn("begun", F.coalesce("at", "begun"))
+    # the entry's place among those begun on its image, whose line comes first
+    w = Window.partitionBy("source", "begun").orderBy(F.col("part").asc_nulls_first())
+    each = each.withColumn("place", F.count("part").over(w)).withColumn("head", F.first("head", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ids = F.split(F.regexp_replace("head", r"\s", ""), "_")
+    entry_id = F.concat(F.get(ids, F.lit(3)), F.coalesce(F.get(ids, (F.col("place") + 3).cast("int")), F.lit("")))
+    return each.filter("part is not null").select("source", F.col("part").alias("pos"), entry_id.alias("entry_id"), text.join_lines(F.transform("_l", lambda s: s["line"])).alias("raw"))
 
 
 def parse_signed(lines: DataFrame) -> DataFrame:

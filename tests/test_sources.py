@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from libroflow.plans import sources
 from libroflow.sources import registers, volumes
 from libroflow.streaming.ingest import entries_stream
 
@@ -61,6 +62,30 @@ def test_bound_dialect(spark):
     assert got == {"0001-A": "primera linea", "0001-B": "segunda linea"}
 
 
+def test_bound_ids_are_met_once(spark):
+    """A long `IMG` line isn't carried by the lines and entries after it; lines of a file have as many exchanges as its text."""
+    ids = "_".join(f"-{i * 7919 % 100_003}" for i in range(3000))
+    lines = [(f"{s}", k, x) for s in range(4) for k, x in enumerate(["{left margin", "none", "{rubric", f"IMG_a_b_{s}_{ids}", *["{left margin", "uno", "dos", "{rubric"] * 200, "IMG_a_b_9_-z", "{left margin", "tres", "{rubric"])]
+    sc = spark.sparkContext
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None))}
+    old, most = stages(), "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(most)
+    spark.conf.set(most, -1)  # as with tables that are too large to send around
+    rows = registers.parse_bound(spark.createDataFrame(lines, "source string, line_no int, line string")).collect()
+    spark.conf.set(most, usual)
+    want = {(f"{s}", 1 + k, f"{s}-{k * 7919 % 100_003}", "uno dos") for s in range(4) for k in range(200)}
+    assert {tuple(r) for r in rows} == want | {(f"{s}", 0, None, "none") for s in range(4)} | {(f"{s}", 201, "9-z", "tres") for s in range(4)} and len(rows) == 808
+    assert sum(n for k, n in stages().items() if k not in old) < 3 * 4 * len(ids)
+
+
+def test_bound_parse_numbers_every_entry(spark, tmp_path):
+    """An image may have more than 2000 entries."""
+    (tmp_path / "entries.parquet").mkdir()
+    rows = [(k, 7, "0003-01", "una linea") for k in range(2100)]
+    spark.createDataFrame(rows, "entry_key bigint, volume_id bigint, entry_id string, raw string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "entries.parquet"))
+    assert {tuple(r) for r in sources.bound_parse(spark, str(tmp_path)).collect()} == {("7/3", f"3-{k}", "una linea") for k in range(1, 2101)}
+
+
 def test_empty_sources(spark):
     assert registers.parse_markup(_lines(spark, "")).count() == 0
     assert registers.parse_signed(_lines(spark, "")).count() == 0
